@@ -5,15 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import licenses, sharding, token_files
+from lectern.llm import decontam, licenses, quality, sharding, simhash, token_files
 from lectern.session import scratch_path, table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template matches of every document."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text rules and the likelihood-ratio verdict on every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in every document."""
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents, written and read back."""
     import public_tokenizers
@@ -30,7 +48,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
     "op7_sharding": op7_sharding,
 }
@@ -60,4 +81,19 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_b
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(met, [])))), ',') as labels,
   (case when n_base > 0 then 1.0 else coalesce(best, 0.0) end)::double as score
 from d left join base using (doc_id) left join met using (doc_id)""",
+    "op5_decontamination": f"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '{_WORD}') as w from documents),
+i as (select item_id, w, least(10, len(w)) as l from (select item_id, regexp_extract_all({_LOWER}, '{_WORD}') as w from benchmark) x where len(w) > 0),
+wins as (select distinct item_id, l, array_to_string(w[k:k + l - 1], ' ') as phrase from (select *, unnest(range(1, len(w) - l + 2)) as k from i) x),
+lengths as (select distinct l from wins),
+firsts as (select distinct l, string_split(phrase, ' ')[1] as word from wins),
+places as (
+  select doc_id, k, l, array_to_string(w[k:k + l - 1], ' ') as phrase
+  from (select doc_id, w, unnest(range(1, len(w) + 1)) as k from d) x join firsts on w[k] = word where k + l - 1 <= len(w)),
+hit as (select doc_id, item_id, k, places.l from places join wins on places.phrase = wins.phrase and places.l = wins.l),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + l)) as p from hit) x group by doc_id),
+items as (select doc_id, list_sort(list(distinct item_id::varchar)) as items from hit group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items,
+  sha256(array_to_string(coalesce(items, []), ',')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)""",
 }
