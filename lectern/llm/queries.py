@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontam, licenses, quality, sharding, simhash, token_files
+from lectern.llm import decontam, licenses, lm_score, pieces, quality, sharding, simhash, token_files
 from lectern.session import scratch_path, table
 
 
@@ -47,6 +47,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document, decoded again."""
+    import public_tokenizers
+
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
@@ -54,6 +67,8 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
     "op7_sharding": op7_sharding,
+    "op8_lm_score": op8_lm_score,
+    "op9_pieces": op9_pieces,
 }
 
 _TEMPLATE_VALUES = ", ".join(f"({k}, '{label}', ['" + "', '".join(sorted(set(text.split()))) + "'])" for k, (label, text) in enumerate(licenses.TEMPLATES))
