@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontam, licenses, lm_score, pieces, quality, sharding, simhash, token_files
+from lectern.llm import decontam, licenses, line_dedup, lm_score, pieces, quality, sharding, simhash, token_files
 from lectern.session import scratch_path, table
 
 
@@ -60,6 +60,11 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later copies of repeated runs of lines."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
@@ -69,6 +74,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_lm_score": op8_lm_score,
     "op9_pieces": op9_pieces,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _TEMPLATE_VALUES = ", ".join(f"({k}, '{label}', ['" + "', '".join(sorted(set(text.split()))) + "'])" for k, (label, text) in enumerate(licenses.TEMPLATES))
@@ -111,4 +117,25 @@ items as (select doc_id, list_sort(list(distinct item_id::varchar)) as items fro
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(items), 0)::bigint as n_items,
   sha256(array_to_string(coalesce(items, []), ',')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (doc_id) left join items using (doc_id)""",
+    "op10_line_dedup": """
+with l as (
+  select doc_id, number, line, row_number() over (partition by doc_id order by number) as i,
+    sum(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) over (partition by doc_id order by number) as upto,
+    len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as n
+  from (select doc_id, unnest(range(len(ls))) as number, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents) x) y
+  where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+ends as (
+  select a.doc_id, a.i as s, min(b.i) as e from l a join l b on a.doc_id = b.doc_id and b.i >= a.i and b.upto - a.upto + a.n >= 50 group by a.doc_id, a.i
+  union
+  select b.doc_id, max(a.i) as s, b.i as e from l a join l b on a.doc_id = b.doc_id and b.i >= a.i and b.upto - a.upto + a.n >= 50 group by b.doc_id, b.i),
+seq as (select doc_id, list(line order by i) as ls from l group by doc_id),
+blocks as (select doc_id, s, e, array_to_string(ls[s:e], chr(10)) as body, e - s as n from ends join seq using (doc_id)),
+later as (select doc_id, s, e from (select *, row_number() over (partition by n, body order by doc_id, s) as r from blocks) x where r > 1),
+gone as (select distinct doc_id, number from later join l using (doc_id) where l.i between s and e),
+rest as (
+  select doc_id, string_agg(line, chr(10) order by number) as text
+  from (select doc_id, unnest(range(len(ls))) as number, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents) x) y
+  where not exists (select 1 from gone g where g.doc_id = y.doc_id and g.number = y.number) group by doc_id)
+select d.doc_id, coalesce(rest.text, '') as text, len(string_split(d.text, chr(10)))::bigint as n_lines, coalesce(g.n, 0)::bigint as n_deleted
+from documents d left join rest using (doc_id) left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_id)""",
 }
