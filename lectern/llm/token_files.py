@@ -21,8 +21,8 @@ from pyspark.sql.types import LongType
 
 from lectern.llm.common import small_batches, texts_of, utf8
 
-#: Words whose ids a worker remembers; the table is emptied beyond it. Results do not depend on it.
-REMEMBERED = 400_000
+#: Words and stems whose ids a worker remembers; a table is emptied beyond it. Results do not depend on them.
+WORDS, STEMS = 300_000, 800_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 SCHEMA = "doc_id long, part int, offset long, n_tokens long, ids array<int>"
@@ -35,7 +35,40 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_words: dict[str, dict[bytes, bytes]] = {}
+_words: dict[tuple[str, str], dict[bytes, bytes]] = {}
+
+
+def _learn(known: dict[bytes, bytes], new: list[bytes], path: str) -> None:
+    encoded = _tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+    known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
+
+
+@lru_cache(maxsize=2)
+def _ends_word(path: str) -> np.ndarray:
+    """Whether each id ends a word."""
+    vocabulary = _tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+    return out
+
+
+def _learn_stems(known: dict[bytes, bytes], new: list[bytes], path: str) -> None:
+    """As `_learn` for words that are one token of the pre-tokeniser: all in one text, cut where a word ends."""
+    ids = np.array(_tokenizer(path).encode(b" ".join(new).decode(), add_special_tokens=False).ids, "<u4")
+    cuts = (4 * (np.flatnonzero(_ends_word(path)[ids]) + 1)).tolist()
+    if len(cuts) != len(new):
+        return _learn(known, new, path)
+    raw = ids.tobytes()
+    known.update(zip(new, (raw[a:b] for a, b in zip([0, *cuts], cuts)), strict=False))
+
+
+def _parts(word: bytes) -> tuple[bytes, bytes] | None:
+    """A word of letters with full stops or commas behind it, as (letters with a-z for A-Z, the rest), else None.
+
+    The vocabulary lower-cases, and it parts letters from other signs, so the two encode as the word does.
+    """
+    stem = word.rstrip(b".,")
+    return (stem.lower(), word[len(stem) :]) if stem.decode().isalpha() else None
 
 
 def encode_text(raw: bytes, path: str) -> np.ndarray:
@@ -44,15 +77,23 @@ def encode_text(raw: bytes, path: str) -> np.ndarray:
     The vocabulary's normaliser and pre-tokeniser never carry anything across ASCII white space, so the ids of
     a text are those of its words in a row, and a word that came before is not encoded again.
     """
-    known = _words.setdefault(path, {})
+    known, stems = _words.setdefault((path, "words"), {}), _words.setdefault((path, "stems"), {})
     words = raw.split()
-    if new := list({w for w in words if w not in known}):
-        if len(known) > REMEMBERED:
+    if new := set(words).difference(known):
+        if len(known) > WORDS:
             known.clear()
-            new = list(set(words))
-        encoded = _tokenizer(path).encode_batch([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
-    return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+            new = set(words)
+        split = {w: _parts(w) for w in new}
+        if len(stems) > STEMS:
+            stems.clear()
+        if fresh := [x for x in {p[0] for p in split.values() if p} if x not in stems]:
+            _learn_stems(stems, fresh, path)
+        if fresh := [x for x in {p[1] for p in split.values() if p} if x not in stems]:
+            _learn(stems, fresh, path)
+        known.update((w, stems[p[0]] + stems[p[1]]) for w, p in split.items() if p)
+        if odd := [w for w, p in split.items() if not p]:
+            _learn(known, odd, path)
+    return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", encoding: str = "dictionary") -> None:
