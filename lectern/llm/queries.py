@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontam, licenses, line_dedup, lm_score, pieces, quality, sharding, simhash, token_files
+from lectern.llm import decontam, licenses, line_dedup, lm_score, pieces, quality, sharding, simhash, substring_dedup, token_files
 from lectern.session import scratch_path, table
 
 
@@ -25,6 +25,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the strings of 400 bytes that stand twice."""
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -69,6 +75,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
     "op7_sharding": op7_sharding,
