@@ -9,8 +9,8 @@ span stands for all of them, and one row in about 185 bytes is shuffled instead
 - Equal spans around equal anchors are counted by partial sums; where there are two, all their windows repeat.
 - Different spans around equal anchors, one of each kind, go to suffix sorting: those of one hash meet in one
   task, many hashes to a task, and two-stage sorting with adjacent common prefixes finds the windows that
-  repeat. A hash with more than `MOST_SPANS` kinds is not sorted in one place: each of its windows is counted by
-  its digest, again by partial sums.
+  repeat. More than `MOST_SPANS` kinds of one hash are first parted by what surrounds the anchor, by halving the
+  distances at which windows begin before it, until each part is small, alone or equal throughout.
 
 Matches never cross documents, since no window does.
 """
@@ -145,43 +145,97 @@ def _sieve(needed: DataFrame) -> Column:
     return passes(slot)
 
 
+SPANS = "key binary, bytes binary, starts int, id long, digest long, first int, anchor int, copies long, crowd long"
+
+
 def _cut(keyed: DataFrame, contested: DataFrame) -> DataFrame:
-    """The bytes of the contested spans: one row (hash, bytes, starts, id, digest, first, copies) for each."""
-    needed = contested.groupBy("id", "digest").agg(F.collect_list(F.struct("hash", "first", "last", "copies", "kinds")).alias("spans"))
+    """The bytes of the contested spans, one row for each; key is the anchor's hash and crowd the number of its kinds."""
+    needed = contested.groupBy("id", "digest").agg(F.collect_list(F.struct("hash", "first", "last", "anchor", "copies", "kinds")).alias("spans"))
     joined = keyed.filter(_sieve(contested)).dropDuplicates(["id", "digest"]).join(needed, ["id", "digest"])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for raw, ident, digest, spans in zip(utf8(batch.column("text")), batch.column("id").to_pylist(), batch.column("digest").to_pylist(), batch.column("spans").to_pylist()):
-                for s in spans:
-                    first, last = s["first"], s["last"]
-                    if s["kinds"] <= MOST_SPANS:
-                        rows.append((s["hash"], raw[first : last + WIDTH], last - first + 1, ident, digest, first, s["copies"]))
-                    else:
-                        rows += [(None, _digest(raw[w : w + WIDTH]), 1, ident, digest, w, s["copies"]) for w in range(first, last + 1)]
-                    if len(rows) > 20_000:
-                        yield _batch(rows)
-                        rows = []
+                for k in range(0, len(spans), 10_000):
+                    rows = []
+                    for s in spans[k : k + 10_000]:
+                        first, last = s["first"], s["last"]
+                        rows.append((s["hash"].to_bytes(8, "little", signed=True), raw[first : last + WIDTH], last - first + 1, ident, digest, first, s["anchor"], s["copies"], s["kinds"]))
+                    yield _span_batch(rows)
+
+    return joined.select("id", "digest", "text", "spans").mapInArrow(compute, SPANS)
+
+
+def _span_batch(rows: list[tuple], *more: str) -> pa.RecordBatch:
+    names = [x.split()[0] for x in SPANS.split(", ")][: len(rows[0]) - len(more)] + list(more)
+    kinds = {"key": pa.binary(), "bytes": pa.binary(), "outer": pa.binary(), "starts": pa.int32(), "first": pa.int32(), "anchor": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, zip(*rows), strict=True)], names=names)
+
+
+def _halves(spans: DataFrame, level: int) -> DataFrame:
+    """Each span in two, by how far a window begins before the anchor.
+
+    `level` counts the halvings of the distances 0..WIDTH - GRAM. The windows of one part all hold the bytes from
+    the anchor minus the least distance to the anchor plus WIDTH minus the greatest: those are the part's key, so
+    equal windows stay together. outer digests all that the part's windows of this span cover.
+    """
+    size = 1 << max(0, (WIDTH - GRAM).bit_length() - level)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                near, far = r["anchor"] - r["first"] - r["starts"] + 1, r["anchor"] - r["first"]  # distances of its windows
+                for part in range(near // size, far // size + 1):
+                    low, high = part * size, min(part * size + size - 1, WIDTH - GRAM)
+                    a, b = max(low, near), min(high, far)
+                    key = _digest(low.to_bytes(2, "little") + r["bytes"][far - low : far + WIDTH - high])
+                    outer = r["bytes"][far - b : far - a + WIDTH]
+                    rows.append((key, outer, b - a + 1, r["id"], r["digest"], r["anchor"] - b, r["anchor"], r["copies"], _digest(a.to_bytes(2, "little") + outer)))
             if rows:
-                yield _batch(rows)
+                yield _span_batch(rows, "outer")
+
+    return spans.mapInArrow(compute, SPANS.replace("crowd long", "outer binary"))
 
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["hash", "bytes", "starts", "id", "digest", "first", "copies"])
 
-    return joined.select("id", "digest", "text", "spans").mapInArrow(compute, "hash long, bytes binary, starts int, id long, digest long, first int, copies long")
+def _range(first: str = "first", starts: str = "starts") -> list[Column]:
+    return [F.col("id"), F.col("digest"), F.col(first).alias("low"), (F.col(first) + F.col(starts) - 1 + WIDTH).cast("int").alias("high")]
+
+
+def _crowded_repeats(spans: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(ranges, spans): the repeats found while crowds of over `MOST_SPANS` spans are halved, and the small crowds left to sort.
+
+    A part alone with its key has no repeat; parts equal in all they cover repeat as a whole; a part in a small
+    crowd is sorted; the others are halved again, down to single windows, whose key is all they cover.
+    """
+    ranges, small, level = [], [], 0
+    crowded = spans.filter(F.col("crowd") > MOST_SPANS)
+    while not crowded.isEmpty():
+        level += 1
+        parts = materialise(_halves(crowded, level), f"halves-{level}")
+        kinds = parts.groupBy("key", "outer").agg(F.count("*").alias("equal"))
+        crowds = kinds.groupBy("key").agg(F.sum("equal").alias("crowd")).filter("crowd > 1")
+        kinds = kinds.filter("equal > 1").select("key", "outer", F.lit(True).alias("whole"))
+        met = materialise(parts.join(crowds, "key").join(kinds, ["key", "outer"], "left"), f"crowds-{level}")
+        ranges.append(met.filter("whole").select(*_range()))
+        # One of each kind goes on; the others are equal to it.
+        one = met.filter("whole is null").drop("outer", "whole")
+        kept = met.filter("whole").groupBy("key", "outer").agg(F.min(F.struct("bytes", "starts", "id", "digest", "first", "anchor", F.lit(2).cast("long").alias("copies"), "crowd")).alias("one")).select("key", "one.*")
+        rest = one.unionByName(kept)
+        small.append(rest.filter(F.col("crowd") <= MOST_SPANS))
+        crowded = rest.filter(F.col("crowd") > MOST_SPANS).filter(F.col("starts") > 1)
+    return ranges, small
 
 
 def _sorted_repeats(spans: DataFrame) -> DataFrame:
-    """(id, digest, low, high): the repeats that two-stage sorting finds among the spans of each hash."""
+    """(id, digest, low, high): the repeats that two-stage sorting finds among the spans of each key."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         size = 0
         for batch in batches:
             for row in batch.to_pylist():
-                if size >= SORT_BYTES and row["hash"] != held[-1]["hash"]:
+                if size >= SORT_BYTES and row["key"] != held[-1]["key"]:
                     yield from flush(held)
                     held, size = [], 0
                 held.append(row)
@@ -199,24 +253,28 @@ def _sorted_repeats(spans: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], names=["id", "digest", "low", "high"])
 
-    together = spans.filter("hash is not null").repartition("hash").sortWithinPartitions("hash")
+    together = spans.select("key", "bytes", "starts", "id", "digest", "first", "copies").repartition("key").sortWithinPartitions("key")
     return together.mapInArrow(compute, "id long, digest long, low int, high int")
 
 
 def repeated_ranges(keyed: DataFrame) -> DataFrame:
     """(id, digest, low, high): byte ranges whose union is what must go, for (id, digest, text)."""
     anchors = materialise(anchor_rows(keyed), "anchors")
-    kinds = anchors.groupBy("hash", "span").agg(F.count("*").alias("copies"), F.min(F.struct("id", "digest", "first", "last")).alias("member"))
+    kinds = anchors.groupBy("hash", "span").agg(F.count("*").alias("copies"), F.min(F.struct("id", "digest", "first", "last", "anchor")).alias("member"))
     kinds = materialise(kinds, "span-kinds")
     shared = kinds.groupBy("hash").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all")).filter("all > 1").drop("all")
     kinds = materialise(kinds.join(shared, "hash"), "shared-spans")
     equal = anchors.join(kinds.filter("copies > 1").select("hash", "span"), ["hash", "span"]).select("id", "digest", F.col("first").alias("low"), (F.col("last") + WIDTH).alias("high"))
     contested = kinds.filter("kinds > 1").select("hash", "copies", "kinds", "member.*")
     spans = materialise(_cut(keyed, contested), "contested-spans")
-    windows = spans.filter("hash is null")
-    common = windows.groupBy("bytes").agg(F.count("*").alias("n")).filter("n > 1").select("bytes")
-    counted = windows.filter("copies = 1").join(common, "bytes").select("id", "digest", F.col("first").alias("low"), (F.col("first") + WIDTH).alias("high"))
-    return equal.union(_sorted_repeats(spans)).union(counted)
+    ranges, small = _crowded_repeats(spans)
+    to_sort = spans.filter(F.col("crowd") <= MOST_SPANS)
+    for more in small:
+        to_sort = to_sort.unionByName(more)
+    found = equal.union(_sorted_repeats(to_sort))
+    for more in ranges:
+        found = found.union(more)
+    return found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
