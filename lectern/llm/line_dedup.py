@@ -9,7 +9,8 @@ of 2^k <= L lines that begin and end it, which is the common prefix of L lines t
 A run of consecutive lines with `MIN_WORDS` words or more that also stands at an earlier place is a later copy,
 and its lines are deleted. Every such run is the union of its shortest sufficient blocks, forward from each line
 and backward from each line, so those blocks decide, and levels up to log2(MIN_WORDS) are enough for any run.
-Blank lines are not part of the sequence and stay.
+Before the doubling, lines that stand once in the corpus part the sequence, and documents without a block between
+such lines drop out. Blank lines are not part of the sequence and stay.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small_batches, with_rank
+from lectern.llm.common import small_batches, utf8, with_rank
 from lectern.session import materialise
 
 MIN_WORDS = 50
@@ -41,40 +42,77 @@ def _blocks(words: np.ndarray, least: int) -> np.ndarray:
     return np.unique(np.concatenate([forward, backward]), axis=0)
 
 
-def line_sequences(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, digest, lines): for each text, the number, two hashes and blocks of its lines with words."""
+def _lists(kind: pa.DataType, parts: list[np.ndarray]) -> pa.ListArray:
+    """A list column from one array per row."""
+    upto = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(parts) if parts else np.empty(0), kind))
+
+
+def line_sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, number, words, h1, h2): for each text, of its lines with words the number, size and two halves of a hash."""
     small_batches(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            numbers, hashes, starts, lengths = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                lines = [(i, x) for i, x in enumerate((text or "").encode().split(b"\n")) if x.strip()]
-                blocks = _blocks(np.array([len(x.split()) for _, x in lines], np.int64), min_words)
-                numbers.append([i for i, _ in lines])
-                hashes.append([xxh3_128_digest(x) for _, x in lines])
-                starts.append(blocks[:, 0])
-                lengths.append(blocks[:, 1])
-            lists = [pa.array(x, pa.list_(kind)) for x, kind in ((numbers, pa.int32()), (hashes, pa.binary()), (starts, pa.int32()), (lengths, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *lists], names=["id", "digest", "number", "hash", "start", "length"])
+            number, words, hashes = [], [], []
+            for raw in utf8(batch.column("text")):
+                lines = raw.split(b"\n")
+                sizes = np.array([len(x.split()) for x in lines], np.int32)
+                number.append(np.flatnonzero(sizes).astype(np.int32))
+                words.append(sizes[sizes > 0])
+                hashes.append(np.frombuffer(b"".join(xxh3_128_digest(x) for x, n in zip(lines, sizes.tolist()) if n), "<i8").reshape(-1, 2))
+            columns = [_lists(pa.int32(), number), _lists(pa.int32(), words), _lists(pa.int64(), [h[:, 0] for h in hashes]), _lists(pa.int64(), [h[:, 1] for h in hashes])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *columns], names=["id", "digest", "number", "words", "h1", "h2"])
 
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    return rows.mapInArrow(compute, "id long, digest long, number array<int>, hash array<binary>, start array<int>, length array<int>")
+    return rows.mapInArrow(compute, "id long, digest long, number array<int>, words array<int>, h1 array<long>, h2 array<long>")
+
+
+def candidate_blocks(sequences: DataFrame, min_words: int) -> DataFrame:
+    """(id, digest, at, number, h1, h2, start, length): documents with a block of lines that all stand elsewhere too.
+
+    Lines that stand once in the corpus end a run; only blocks inside the runs between can repeat. at is the
+    place of a line among the document's lines with words.
+    """
+    lines = sequences.select("id", "digest", F.posexplode(F.arrays_zip("number", "words", "h1", "h2")).alias("at", "x")).select("id", "digest", "at", "x.*")
+    twice = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+    repeated = lines.join(twice, ["h1", "h2"]).groupBy("id", "digest").agg(F.array_sort(F.collect_set(F.struct("at", "number", "words", "h1", "h2"))).alias("lines"))
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, columns = [], [[] for _ in range(6)]
+            lists = batch.column("lines")
+            flat, offsets = lists.flatten(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            at, number, words, h1, h2 = (flat.field(k).to_numpy() for k in range(5))
+            for row, (a, b) in enumerate(zip(offsets, offsets[1:])):
+                cuts = [0, *(np.flatnonzero(np.diff(at[a:b]) != 1) + 1).tolist(), b - a]
+                blocks = [_blocks(words[a + x : a + y], min_words) + [at[a + x], 0] for x, y in zip(cuts, cuts[1:])]
+                found = np.concatenate(blocks)
+                if len(found):
+                    kept.append(row)
+                    for c, x in zip(columns, (at[a:b], number[a:b], h1[a:b], h2[a:b], found[:, 0], found[:, 1])):
+                        c.append(x)
+            if kept:
+                whole = batch.take(pa.array(kept))
+                out = [_lists(k, c) for k, c in zip([pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()], columns)]
+                yield pa.RecordBatch.from_arrays([whole.column("id"), whole.column("digest"), *out], names=["id", "digest", "at", "number", "h1", "h2", "start", "length"])
+
+    return repeated.mapInArrow(compute, "id long, digest long, at array<int>, number array<int>, h1 array<long>, h2 array<long>, start array<int>, length array<int>")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, digest, deleted): for documents with later copies, the numbers of their deleted lines (from 0)."""
-    sequences = materialise(line_sequences(docs, id_col, text_col, min_words), "line-sequences")
-    ranks = with_rank(sequences.select("id", "digest").distinct(), "id", "digest")
-    placed = materialise(sequences.join(ranks, ["id", "digest"]).withColumn("base", F.shiftleft("rank", PLACE_BITS)), "line-places")
-    lines = placed.select("base", F.posexplode("hash").alias("i", "hash")).select((F.col("base") + F.col("i")).alias("place"), "hash")
-    blocks = placed.select("base", F.explode(F.arrays_zip("start", "length")).alias("b")).select((F.col("base") + F.col("b.start")).alias("place"), F.col("b.length").alias("length")).distinct()
-
-    level, size = _name(lines, ["hash"]).dropDuplicates(["place"]), 1
-    level = materialise(level, "level-1")
+    sequences = materialise(line_sequences(docs, id_col, text_col), "line-sequences")
+    candidates = materialise(candidate_blocks(sequences, min_words), "line-candidates")
+    ranks = with_rank(candidates.select("id", "digest"), "id", "digest")
+    placed = materialise(candidates.join(ranks, ["id", "digest"]).withColumn("base", F.shiftleft("rank", PLACE_BITS)), "line-places")
+    lines = placed.select("base", F.explode(F.arrays_zip("at", "h1", "h2")).alias("x")).select((F.col("base") + F.col("x.at")).alias("place"), "x.h1", "x.h2")
+    blocks = placed.select("base", F.explode(F.arrays_zip("start", "length")).alias("b")).select((F.col("base") + F.col("b.start")).alias("place"), F.col("b.length").alias("length"))
+
+    level, size = materialise(_name(lines, ["h1", "h2"]), "level-1"), 1
     copies = None
     while True:
         here = blocks.filter((F.col("length") >= size) & (F.col("length") < 2 * size))
@@ -91,9 +129,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pairs = level.join(halves, "place")
         level, size = materialise(_name(pairs, ["name", "second"]), f"level-{2 * size}"), 2 * size
     covered = copies.select(F.explode(F.sequence(F.col("place"), F.col("place") + F.col("length") - 1)).alias("place")).distinct()
-    deleted = covered.groupBy(F.shiftright("place", PLACE_BITS).alias("rank")).agg(F.collect_set((F.col("place") % (1 << PLACE_BITS)).cast("int")).alias("at"))
-    numbered = placed.dropDuplicates(["rank"]).join(deleted, "rank")
-    return numbered.select("id", "digest", F.array_sort(F.transform("at", lambda i: F.get("number", i))).alias("deleted"))
+    deleted = covered.groupBy(F.shiftright("place", PLACE_BITS).alias("rank")).agg(F.collect_set((F.col("place") % (1 << PLACE_BITS)).cast("int")).alias("gone"))
+    numbered = placed.join(deleted, "rank").withColumn("numbers", F.map_from_arrays("at", "number"))
+    return numbered.select("id", "digest", F.array_sort(F.transform("gone", lambda i: F.element_at("numbers", i))).alias("deleted"))
 
 
 def _name(rows: DataFrame, key: list[str]) -> DataFrame:
