@@ -223,7 +223,10 @@ def _crowded_repeats(spans: DataFrame) -> tuple[list[DataFrame], list[DataFrame]
         kept = met.filter("whole").groupBy("key", "outer").agg(F.min(F.struct("bytes", "starts", "id", "digest", "first", "anchor", F.lit(2).cast("long").alias("copies"), "crowd")).alias("one")).select("key", "one.*")
         rest = one.unionByName(kept)
         small.append(rest.filter(F.col("crowd") <= MOST_SPANS))
-        crowded = rest.filter(F.col("crowd") > MOST_SPANS).filter(F.col("starts") > 1)
+        if 1 << level > WIDTH - GRAM:  # parts of single windows: those of one key are equal, and found
+            break
+        # Single windows go on too: above the last level their key is less than they cover.
+        crowded = rest.filter(F.col("crowd") > MOST_SPANS)
     return ranges, small
 
 
