@@ -39,6 +39,8 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
         local = tempfile.mkdtemp(prefix="lectern-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         root = f"file://{local}"
@@ -55,4 +57,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder once and read it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` wrote, once nothing reads them any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
