@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Rows that one Arrow batch may carry to Python. Texts can be long, so the default of 10,000 is too many.
 ARROW_ROWS = 1000
 #: And the bytes of one such batch.
 ARROW_BYTES = 8 << 20
+#: Slots of a sieve. Its size is fixed; when it is full it lets all pass, which costs a shuffle and loses nothing.
+SIEVE = 1 << 22
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -46,6 +50,37 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(column) else raw[:0], offsets - offsets[0]
 
 
+def sieve(needed: DataFrame, *key: str) -> Column:
+    """A filter on the columns `key` that all of `needed` pass and, unless they fill the sieve, few others.
+
+    It keeps rows without a part in a join out of that join's shuffle; the join after it stays exact.
+    """
+    slot = F.pmod(F.xxhash64(*key), F.lit(SIEVE)).cast("int")
+    # One bit a slot, or'ed together by Spark: 65,536 rows at most reach the driver.
+    words = needed.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
+    packed = np.zeros(SIEVE >> 6, np.uint64)
+    for batch in words.toArrow().to_batches():
+        packed[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
+
+    @F.pandas_udf(BooleanType())
+    def passes(slots: pd.Series) -> pd.Series:
+        s = slots.to_numpy()
+        return pd.Series((packed[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return passes(slot)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that `df` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_rank(df: DataFrame, *order: str) -> DataFrame:
     """`df` with `rank`, the gapless position of each row in the order of these columns; no row is moved to one task."""
     from pyspark.sql import Window

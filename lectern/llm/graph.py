@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import materialise
+from lectern.session import discard, materialise
 
 
 def _stars(pairs: DataFrame, only_smaller: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = at.select(F.col("v").alias("u"), F.col("m").alias("v")).union(at.select(F.col("m").alias("u"), "v"))
         large = materialise(_stars(both, only_smaller=False), "large-star")
-        at = materialise(_stars(large.select(F.col("v").alias("u"), F.col("m").alias("v")), only_smaller=True), "small-star")
+        before, at = at, materialise(_stars(large.select(F.col("v").alias("u"), F.col("m").alias("v")), only_smaller=True), "small-star")
+        discard(before, large)
         now = at.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if now == mark:
             break

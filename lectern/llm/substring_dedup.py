@@ -21,13 +21,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from lectern.llm.common import buffer_of, small_batches, utf8
+from lectern.llm.common import buffer_of, sieve, small_batches, utf8
 from lectern.llm.suffixes import repeated_starts
 from lectern.session import materialise
 
@@ -38,9 +36,6 @@ MOST_SPANS = 1000
 SORT_BYTES = 1 << 19
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
-#: Size of the sieve that keeps texts without a part in a join out of its shuffle. Its size is fixed; when it is
-#: full it lets all pass, which costs the shuffle and loses nothing.
-SIEVE = 1 << 20
 _NO_ID = -(1 << 63)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,29 +124,13 @@ def anchor_rows(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(compute, ANCHORS)
 
 
-def _sieve(needed: DataFrame) -> Column:
-    """A filter on (id, digest) that all of `needed` pass and, unless they fill the sieve, few others."""
-    slot = F.pmod(F.xxhash64("id", "digest"), F.lit(SIEVE)).cast("int")
-    full = np.zeros(SIEVE, bool)
-    for batch in needed.select(slot.alias("slot")).distinct().toArrow().to_batches():
-        full[batch.column("slot").to_numpy()] = True
-    packed = np.packbits(full)
-
-    @F.pandas_udf(BooleanType())
-    def passes(slots: pd.Series) -> pd.Series:
-        s = slots.to_numpy()
-        return pd.Series((packed[s >> 3] >> (7 - (s & 7)) & 1).astype(bool))
-
-    return passes(slot)
-
-
 SPANS = "key binary, bytes binary, starts int, id long, digest long, first int, anchor int, copies long, crowd long"
 
 
 def _cut(keyed: DataFrame, contested: DataFrame) -> DataFrame:
     """The bytes of the contested spans, one row for each; key is the anchor's hash and crowd the number of its kinds."""
     needed = contested.groupBy("id", "digest").agg(F.collect_list(F.struct("hash", "first", "last", "anchor", "copies", "kinds")).alias("spans"))
-    joined = keyed.filter(_sieve(contested)).dropDuplicates(["id", "digest"]).join(needed, ["id", "digest"])
+    joined = keyed.filter(sieve(contested, "id", "digest")).dropDuplicates(["id", "digest"]).join(needed, ["id", "digest"])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +270,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     ranges = repeated_ranges(keyed)
     merged = materialise(ranges.groupBy("id", "digest").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges")
-    touched = F.lit(True) if merged.isEmpty() else _sieve(merged)
+    touched = F.lit(False) if merged.isEmpty() else sieve(merged, "id", "digest")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

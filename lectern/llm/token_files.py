@@ -8,6 +8,9 @@ without decoding the rest.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,81 +22,101 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lectern.llm.common import small_batches, texts_of, utf8
+from lectern.llm.common import small_batches, texts_of
 
-#: Words and stems whose ids a worker remembers; a table is emptied beyond it. Results do not depend on them.
-WORDS, STEMS = 300_000, 800_000
+#: Pieces whose ids a worker remembers; the table is emptied beyond it. Results do not depend on it.
+PIECES = 600_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 SCHEMA = "doc_id long, part int, offset long, n_tokens long, ids array<int>"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-_words: dict[tuple[str, str], dict[bytes, bytes]] = {}
-
-
-def _learn(known: dict[bytes, bytes], new: list[bytes], path: str) -> None:
-    encoded = _tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-    known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
-
-
-@lru_cache(maxsize=2)
-def _ends_word(path: str) -> np.ndarray:
-    """Whether each id ends a word."""
-    vocabulary = _tokenizer(path).get_vocab()
-    out = np.zeros(max(vocabulary.values()) + 1, bool)
-    out[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-    return out
-
-
-def _learn_stems(known: dict[bytes, bytes], new: list[bytes], path: str) -> None:
-    """As `_learn` for words that are one token of the pre-tokeniser: all in one text, cut where a word ends."""
-    ids = np.array(_tokenizer(path).encode(b" ".join(new).decode(), add_special_tokens=False).ids, "<u4")
-    cuts = (4 * (np.flatnonzero(_ends_word(path)[ids]) + 1)).tolist()
-    if len(cuts) != len(new):
-        return _learn(known, new, path)
-    raw = ids.tobytes()
-    known.update(zip(new, (raw[a:b] for a, b in zip([0, *cuts], cuts)), strict=False))
-
-
-def _parts(word: bytes) -> tuple[bytes, bytes] | None:
-    """A word of letters with full stops or commas behind it, as (letters with a-z for A-Z, the rest), else None.
-
-    The vocabulary lower-cases, and it parts letters from other signs, so the two encode as the word does.
+# The normaliser and the pre-tokeniser of the vocabulary that words can be encoded for one by one.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PIECE_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PIECE_PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Signs that stay as they are in NFC and lower-case one by one: printable ASCII, and composed Latin letters.
+_PLAIN = r"!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"
+_BLANK = r" \t-\r"
+_odd = re.compile(rf"[^{_PLAIN}{_BLANK}]|<\|").search
+_odd_words = re.compile(rf"[^{_BLANK}]*?(?:[^{_PLAIN}{_BLANK}]|<\|)[^{_BLANK}]*").finditer
+_LETTER = r"a-z\u00DF-\u00F6\u00F8-\u024F"
+#: The vocabulary's pattern for lower-cased plain signs. Letters come first, which no other branch can begin with.
+_pieces_of = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s{_LETTER}0-9]+").findall
+#: Plain signs and blanks of one byte.
+_PLAIN_BYTES = bytes([*range(0x21, 0x7F), *b" \t\n\v\f\r"])
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that the pre-tokeniser puts for each byte: its Latin-1 sign if that prints, else the next from U+0100."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: b for b in prints} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in prints)}
+
+
+_SIGNS = _byte_signs()
+
+
+class Encoder(dict):
+    """Ids of texts, for a vocabulary whose rules never carry anything across ASCII white space.
+
+    Words of plain signs are parted by the vocabulary's own pattern and each piece is merged by the vocabulary's
+    model; other words go through the whole tokenizer. The mapping remembers the pieces that came before. A
+    vocabulary with other rules, or with added tokens that are no "<|...|>", gets each text whole.
     """
-    stem = word.rstrip(b".,")
-    return (stem.lower(), word[len(stem) :]) if stem.decode().isalpha() else None
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        model = rules["model"]
+        self.by_piece = (
+            rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER and rules["post_processor"] is None
+            and rules["truncation"] is None and rules["padding"] is None and model["type"] == "BPE" and model["dropout"] is None
+            and model["unk_token"] is None and not model["continuing_subword_prefix"] and all(re.fullmatch(r"<\|[^\s|]+\|>", t["content"]) for t in rules["added_tokens"])
+        )
+
+    def __missing__(self, piece: str) -> bytes:
+        found = [t.id for t in self.merge(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SIGNS))]
+        ids = self[piece] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian uint32."""
+        if not self.by_piece:
+            return self._whole([text])[0]
+        if len(self) > PIECES:
+            self.clear()
+        of, out, at = self.__getitem__, [], 0
+        rest = text.encode().translate(None, _PLAIN_BYTES)
+        if "<|" in text or rest and _odd(rest.decode()):
+            odd = list(_odd_words(text))
+            for m, ids in zip(odd, self._whole([m.group() for m in odd]), strict=True):
+                out += map(of, _pieces_of(text[at : m.start()].lower()))
+                out.append(ids)
+                at = m.end()
+        out += map(of, _pieces_of(text[at:].lower()))
+        return b"".join(out)
 
-def encode_text(raw: bytes, path: str) -> np.ndarray:
-    """The ids of one UTF-8 text as little-endian uint32.
 
-    The vocabulary's normaliser and pre-tokeniser never carry anything across ASCII white space, so the ids of
-    a text are those of its words in a row, and a word that came before is not encoded again.
-    """
-    known, stems = _words.setdefault((path, "words"), {}), _words.setdefault((path, "stems"), {})
-    words = raw.split()
-    if new := set(words).difference(known):
-        if len(known) > WORDS:
-            known.clear()
-            new = set(words)
-        split = {w: _parts(w) for w in new}
-        if len(stems) > STEMS:
-            stems.clear()
-        if fresh := [x for x in {p[0] for p in split.values() if p} if x not in stems]:
-            _learn_stems(stems, fresh, path)
-        if fresh := [x for x in {p[1] for p in split.values() if p} if x not in stems]:
-            _learn(stems, fresh, path)
-        known.update((w, stems[p[0]] + stems[p[1]]) for w, p in split.items() if p)
-        if odd := [w for w, p in split.items() if not p]:
-            _learn(known, odd, path)
-    return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", encoding: str = "dictionary") -> None:
@@ -116,14 +139,14 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, offset = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4")
+        end, encode_text = end_id.to_bytes(4, "little"), encoder(vocabulary).encode
         for batch in batches:
-            found = [np.concatenate([encode_text(raw, vocabulary), end]) for raw in utf8(batch.column("text"))]
+            found = [encode_text(x or "") + end for x in batch.column("text").to_pylist()]
             if not found:
                 continue
-            n = np.array([len(x) for x in found], np.int64)
+            n = np.array([len(x) >> 2 for x in found], np.int64)
             upto = np.cumsum(n)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(np.concatenate(found).astype(np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(np.frombuffer(b"".join(found), "<i4")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(offset + upto - n), pa.array(n), ids], names=["doc_id", "part", "offset", "n_tokens", "ids"]
             )
@@ -164,4 +187,4 @@ def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: in
 @F.pandas_udf(LongType())
 def ids_crc32(ids: pd.Series) -> pd.Series:
     """The unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    return ids.map(lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes())).astype("int64")
+    return pd.Series([zlib.crc32(x.astype("<i4", copy=False)) for x in ids], dtype="int64")
