@@ -50,6 +50,16 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(column) else raw[:0], offsets - offsets[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `limit` bytes of text, one row at least, for work on arrays many times as large."""
+    for batch in batches:
+        offsets, at = buffer_of(batch.column("text"))[1], 0
+        while at < len(batch):
+            upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def sieve(needed: DataFrame, *key: str) -> Column:
     """A filter on the columns `key` that all of `needed` pass and, unless they fill the sieve, few others.
 

@@ -28,7 +28,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the strings of 400 bytes that stand twice."""
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut inside a character leaves U+FFFD here; kept_sha256 is of the bytes
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +56,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document."""
-    docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs, table(spark, sf_dir, "labels")))
+    return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
