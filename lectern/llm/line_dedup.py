@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small_batches, utf8, with_rank
+from lectern.llm.common import fresh, sieve, small_batches, utf8, with_rank
 from lectern.session import materialise
 
 MIN_WORDS = 50
@@ -146,14 +146,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents come in the order of their ids; rows equal in id and text are one document and share one result.
     Null texts stay null; a null id comes before all others; blank lines stay; a text that loses all its lines
     becomes empty; an empty table gives no rows. Columns named n_lines or n_deleted are replaced, others stay.
+    Only the texts that may lose a line are shuffled, to meet the numbers of their lines.
     """
-    found = repeated_lines(docs, id_col, text_col, min_words).withColumnRenamed("id", "_id").withColumnRenamed("digest", "_digest").withColumnRenamed("deleted", "_deleted")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)), "_digest": F.xxhash64(F.col(f"`{text_col}`"))})
-    out = keyed.join(found, ["_id", "_digest"], "left")
-    lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_deleted")
-    kept = F.when(F.col("_deleted").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    n_lines = F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    counts = {"n_lines": n_lines, "n_deleted": F.coalesce(F.size("_deleted"), F.lit(0)).cast("long")}
-    columns = [F.col(f"`{c}`") if c != text_col else kept.alias(c) for c in docs.columns if c not in counts]
-    return out.select(*columns, *[v.alias(k) for k, v in counts.items()])
+    ident, digest, deleted = fresh(docs, "id_key", "digest_key", "deleted_key")
+    found = repeated_lines(docs, id_col, text_col, min_words)
+    found = materialise(found.select(F.col("id").alias(ident), F.col("digest").alias(digest), F.col("deleted").alias(deleted)), "deleted-lines")
+    text = F.col(f"`{text_col}`")
+    keyed = docs.withColumns({ident: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)), digest: F.xxhash64(text)})
+    touched = sieve(found, ident, digest)
+    lines = F.split(text, "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), deleted)
+    kept = F.when(F.col(deleted).isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
+    others = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    met = keyed.filter(touched).join(found.hint("merge"), [ident, digest], "left")
+    met = met.select(*[F.col(f"`{c}`") if c != text_col else kept.alias(c) for c in others], n_lines, F.coalesce(F.size(deleted), F.lit(0)).cast("long").alias("n_deleted"))
+    return met.unionByName(keyed.filter(~touched).select(*[F.col(f"`{c}`") for c in others], n_lines, F.lit(0).cast("long").alias("n_deleted")))

@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ BUCKETS = 10_000
 TRUSTED = 50_000
 #: Mean log ratio (nats per n-gram) below which a document goes. Ordinary documents lie near or above 0, junk far below.
 THRESHOLD = -0.1
+#: Words below which a text fails the hard rules.
+MIN_WORDS = 50
 #: The trusted model is drawn towards the raw one by this many n-grams for each bucket, so rare buckets say little.
 PRIOR = 20
 
@@ -98,7 +101,28 @@ def log_ratio(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.log(ratio)
 
 
-def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def judge_text(raw: bytes, model: np.ndarray, threshold: float, min_words: int) -> tuple:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept) of one UTF-8 text."""
+    words = raw.split()
+    n = len(words)
+    rules = text_rules(raw.decode(), words)
+    failed = n < min_words or 100 * rules[3] > 50 * n
+    llr = float(model[buckets_of(raw)].mean()) if n else 0.0
+    return n, *rules, failed, llr, not failed and llr >= threshold
+
+
+def accepted(docs: DataFrame, model: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose text the rules and the ratio accept; no row is moved."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def kept(texts: pd.Series) -> pd.Series:
+        return pd.Series([judge_text((x or "").encode(), model, threshold, min_words)[-1] for x in texts], dtype=bool)
+
+    return docs.filter(kept(F.col(f"`{text_col}`")))
+
+
+def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
     Null texts have no words. A text without words has llr 0 and fails the hard rules. Repeated rows and null
@@ -108,14 +132,7 @@ def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for raw in utf8(batch.column("text")):
-                words = raw.split()
-                n = len(words)
-                rules = text_rules(raw.decode(), words)
-                failed = n < 50 or 100 * rules[3] > 50 * n
-                llr = float(model[buckets_of(raw)].mean()) if n else 0.0
-                out.append((n, *rules, failed, llr, not failed and llr >= threshold))
+            out = [judge_text(raw, model, threshold, min_words) for raw in utf8(batch.column("text"))]
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"])

@@ -5,6 +5,10 @@ Each document gets a 64-bit fingerprint of its 3-word shingles. Bit i of the fin
 differ in r bits at most leave, for some non-zero v, all those bits out of table v (r equations, r + 1
 unknowns), so every pair within the radius collides in some table and none is lost.
 
+That serves texts that are all but equal. A similarity of 0.8 of two shingle sets is some ten bits of a
+fingerprint, which no such family can afford, so `near_texts` lays the masks on the sets themselves: mask i keeps
+the shingles of part i, and sets that differ in fewer shingles than there are parts agree under some mask.
+
 Tables hold distinct fingerprints. A bucket of up to `SMALL` of them is compared pair by pair. In a larger one
 two fingerprints within distance 2 share a midpoint: themselves or a one-bit change of a bit that the table
 leaves out. Those midpoints are linked as stars, which costs a fixed number of rows for each member.
@@ -12,6 +16,7 @@ leaves out. Those midpoints are linked as stars, which costs a fixed number of r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small_batches, texts_of, utf8
+from lectern.llm.common import sieve, small_batches, texts_of, utf8
 from lectern.llm.graph import components
 from lectern.session import materialise
 
@@ -115,3 +120,125 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(rooted.select("fp", "root").join(named, "root").select("fp", "component_id", "copies"), "fingerprint-classes")
     out = prints.join(classes, "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
+
+
+#: Masks that a set is held under. Of two sets of similarity 0.8 a mask shows no difference with a chance of 0.37
+#: or more, so all of them miss a pair with 1 in 10,000 at most, and none where the parts are no more than these.
+MASKS = 20
+#: Sets under one mask and key up to which all pairs are compared.
+FEW = 16
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+def size_class(n: int, similarity: float) -> int:
+    """The class of a set's size; sizes of similar sets are of one class or of neighbouring ones."""
+    return math.floor(math.log(n) / -math.log(similarity) + 1e-9)
+
+
+def mask_keys(grams: np.ndarray, similarity: float) -> np.ndarray:
+    """The keys of a set of hashes: for its own size class and the one below, one for each mask that keeps any."""
+    own, out = size_class(len(grams), similarity), []
+    for c in (own - 1, own):
+        if c < 0:
+            continue
+        # Sets of this class and of the next, as far as they are similar, differ in `most` elements at most.
+        most = (1 + 1 / similarity) * similarity ** -(c + 1) * (1 - similarity) / (1 + similarity)
+        parts = int(most) + 1
+        part = _mixed(grams + np.uint64(2 * c + 1)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        order = order[: np.searchsorted(part[order], MASKS)]
+        if len(order):
+            at = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
+            with np.errstate(over="ignore"):
+                sums = np.add.reduceat(_mixed(grams[order]), at)
+                out.append(_mixed(sums + part[order][at] * np.uint64(257) + np.uint64(c) * np.uint64(65537)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingle_sets(docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(digest, whole, keys, grams): each text's XXH64, a hash of its shingle set, its mask keys and the set itself.
+
+    Shingles are those of `fingerprint`; grams has 32 bits of each hash. A text without words has an empty set.
+    """
+    small_batches(docs.sparkSession)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            whole, keys, grams = [], [], []
+            for raw in utf8(batch.column("text")):
+                words = raw.lower().split()
+                k = min(shingle, len(words))
+                found = {xxh64_intdigest(b" ".join(t), 42) for t in zip(*(words[i:] for i in range(k)))}
+                h = np.sort(np.fromiter(found, np.uint64, len(found)))
+                with np.errstate(over="ignore"):
+                    whole.append(int(_mixed(h).sum(dtype=np.uint64)) if len(h) else 0)
+                keys.append(mask_keys(h, similarity) if len(h) else h)
+                grams.append((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x).view(kind)))
+                for x, kind in ((keys, np.int64), (grams, np.int32))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(np.array(whole, np.uint64).view(np.int64)), *lists], names=["digest", "whole", "keys", "grams"])
+
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(compute, "digest long, whole long, keys array<long>, grams array<int>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those (a, b) of `pairs` whose sets reach the similarity."""
+    pairs = materialise(pairs.distinct(), "near-candidates")
+    wanted = pairs.select(F.col("a").alias("whole")).union(pairs.select("b"))
+    held = materialise(sets.filter(sieve(wanted, "whole")).groupBy("whole").agg(F.any_value("grams").alias("grams")), "near-sets")
+    both = pairs.join(held.withColumnsRenamed({"whole": "a", "grams": "x"}), "a").join(held.withColumnsRenamed({"whole": "b", "grams": "y"}), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return materialise(both.filter(shared >= (F.size("x") + F.size("y") - shared) * similarity).select("a", "b"), "near-links")
+
+
+def near_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(digest, group): for each distinct text, by its XXH64, the group of texts it is near to.
+
+    Texts whose sets of word shingles have a Jaccard similarity of `similarity` or more are linked, and groups are
+    what links connect. Equal sets are one. Sets that agree under a mask are compared: all pairs of up to `FEW`; in
+    a crowd all with its densest member, the one with most company under its masks, which is where the
+    variants of one text meet. What that member is near to leaves the crowd, the others go on until they are few or
+    a round finds nothing; a pair that such a crowd leaves apart still meets under its other masks. Null texts
+    count as empty; texts without words are near each other; an empty table gives no rows.
+    """
+    sets = materialise(shingle_sets(docs, text_col, shingle, similarity), "shingle-sets")
+    distinct = sets.groupBy("whole").agg(F.any_value("keys").alias("keys"))
+    members = distinct.select("whole", F.explode("keys").alias("key"))
+    met = members.join(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    met, found = materialise(met, "mask-members"), []
+    while True:
+        few = met.filter(F.col("n") <= FEW)
+        pairs = few.alias("x").join(few.alias("y"), "key").filter("x.whole < y.whole").select(F.col("x.whole").alias("a"), F.col("y.whole").alias("b"))
+        crowds = met.filter(F.col("n") > FEW)
+        if crowds.isEmpty():
+            found.append(_similar(pairs, sets, similarity))
+            break
+        company = crowds.groupBy("whole").agg(F.sum("n").alias("company"))
+        centres = crowds.join(company, "whole").groupBy("key").agg(F.max(F.struct("company", "whole")).alias("c")).select("key", F.col("c.whole").alias("centre"))
+        spokes = materialise(crowds.join(centres, "key"), "mask-crowds")
+        starred = spokes.filter("whole != centre").select(F.least("whole", "centre").alias("a"), F.greatest("whole", "centre").alias("b"))
+        links = _similar(pairs.union(starred), sets, similarity)
+        found.append(links)
+        linked = links.select(F.col("a").alias("whole")).union(links.select("b")).distinct()
+        rest = spokes.filter("whole != centre").select("key", "whole").join(linked, "whole", "left_anti")
+        rest = materialise(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "mask-rest")
+        if links.isEmpty() or rest.isEmpty():
+            break
+        met = rest
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.union(more)
+    roots = components(edges, "a", "b")
+    texts = sets.select("digest", "whole").distinct()
+    return texts.join(roots, texts["whole"] == roots["node"], "left").select("digest", F.coalesce("root", "whole").alias("group"))
