@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 #: Rows that one Arrow batch may carry to Python. Texts can be long, so the default of 10,000 is too many.
 ARROW_ROWS = 1000
@@ -60,24 +58,18 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[
             at = upto
 
 
-def sieve(needed: DataFrame, *key: str) -> Column:
-    """A filter on the columns `key` that all of `needed` pass and, unless they fill the sieve, few others.
+def split_by_sieve(df: DataFrame, needed: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
+    """`df` in two: rows that may have a partner in `needed` by the columns `key`, and rows that have none.
 
-    It keeps rows without a part in a join out of that join's shuffle; the join after it stays exact.
+    It keeps rows without a part in a join out of that join's shuffle; the join after it stays exact. One bit a
+    slot, in `SIEVE` / 64 rows at most, is what is broadcast.
     """
+    word, bits = fresh(df, "sieve_word", "sieve_bits")
     slot = F.pmod(F.xxhash64(*key), F.lit(SIEVE)).cast("int")
-    # One bit a slot, or'ed together by Spark: 65,536 rows at most reach the driver.
-    words = needed.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
-    packed = np.zeros(SIEVE >> 6, np.uint64)
-    for batch in words.toArrow().to_batches():
-        packed[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
-
-    @F.pandas_udf(BooleanType())
-    def passes(slots: pd.Series) -> pd.Series:
-        s = slots.to_numpy()
-        return pd.Series((packed[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
-
-    return passes(slot)
+    words = needed.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias(bits))
+    met = df.join(F.broadcast(words), F.shiftright(slot, 6) == F.col(word), "left")
+    passes = F.coalesce(F.getbit(F.col(bits), slot.bitwiseAND(F.lit(63))) == 1, F.lit(False))
+    return met.filter(passes).select(*df.columns), met.filter(~passes).select(*df.columns)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

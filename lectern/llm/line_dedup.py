@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import fresh, sieve, small_batches, utf8, with_rank
+from lectern.llm.common import fresh, small_batches, split_by_sieve, utf8, with_rank
 from lectern.session import materialise
 
 MIN_WORDS = 50
@@ -153,12 +153,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialise(found.select(F.col("id").alias(ident), F.col("digest").alias(digest), F.col("deleted").alias(deleted)), "deleted-lines")
     text = F.col(f"`{text_col}`")
     keyed = docs.withColumns({ident: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)), digest: F.xxhash64(text)})
-    touched = sieve(found, ident, digest)
+    touched, whole = split_by_sieve(keyed, found, ident, digest)
     lines = F.split(text, "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), deleted)
     kept = F.when(F.col(deleted).isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
     others = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    met = keyed.filter(touched).join(found.hint("merge"), [ident, digest], "left")
+    met = touched.join(found.hint("merge"), [ident, digest], "left")
     met = met.select(*[F.col(f"`{c}`") if c != text_col else kept.alias(c) for c in others], n_lines, F.coalesce(F.size(deleted), F.lit(0)).cast("long").alias("n_deleted"))
-    return met.unionByName(keyed.filter(~touched).select(*[F.col(f"`{c}`") for c in others], n_lines, F.lit(0).cast("long").alias("n_deleted")))
+    return met.unionByName(whole.select(*[F.col(f"`{c}`") for c in others], n_lines, F.lit(0).cast("long").alias("n_deleted")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import sieve, small_batches, texts_of, utf8
+from lectern.llm.common import small_batches, split_by_sieve, texts_of, utf8
 from lectern.llm.graph import components
 from lectern.session import materialise
 
@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: or more, so all of them miss a pair with 1 in 10,000 at most, and none where the parts are no more than these.
 MASKS = 20
 #: Sets under one mask and key up to which all pairs are compared.
-FEW = 16
+FEW = 4
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -196,7 +196,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those (a, b) of `pairs` whose sets reach the similarity."""
     pairs = materialise(pairs.distinct(), "near-candidates")
     wanted = pairs.select(F.col("a").alias("whole")).union(pairs.select("b"))
-    held = materialise(sets.filter(sieve(wanted, "whole")).groupBy("whole").agg(F.any_value("grams").alias("grams")), "near-sets")
+    held = materialise(split_by_sieve(sets, wanted, "whole")[0].groupBy("whole").agg(F.any_value("grams").alias("grams")), "near-sets")
     both = pairs.join(held.withColumnsRenamed({"whole": "a", "grams": "x"}), "a").join(held.withColumnsRenamed({"whole": "b", "grams": "y"}), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return materialise(both.filter(shared >= (F.size("x") + F.size("y") - shared) * similarity).select("a", "b"), "near-links")

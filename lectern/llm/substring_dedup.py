@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import buffer_of, sieve, small_batches, utf8
+from lectern.llm.common import buffer_of, small_batches, split_by_sieve, utf8
 from lectern.llm.suffixes import repeated_starts
 from lectern.session import materialise
 
@@ -130,7 +130,7 @@ SPANS = "key binary, bytes binary, starts int, id long, digest long, first int,
 def _cut(keyed: DataFrame, contested: DataFrame) -> DataFrame:
     """The bytes of the contested spans, one row for each; key is the anchor's hash and crowd the number of its kinds."""
     needed = contested.groupBy("id", "digest").agg(F.collect_list(F.struct("hash", "first", "last", "anchor", "copies", "kinds")).alias("spans"))
-    joined = keyed.filter(sieve(contested, "id", "digest")).dropDuplicates(["id", "digest"]).join(needed, ["id", "digest"])
+    joined = split_by_sieve(keyed, contested, "id", "digest")[0].dropDuplicates(["id", "digest"]).join(needed, ["id", "digest"])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,7 +270,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     ranges = repeated_ranges(keyed)
     merged = materialise(ranges.groupBy("id", "digest").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges")
-    touched = F.lit(False) if merged.isEmpty() else sieve(merged, "id", "digest")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,9 +289,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = [pa.array(c, k) for c, k in zip(zip(*out), [pa.int64()] * 3 + [pa.binary()])] if out else [pa.array([], k) for k in [pa.int64()] * 3 + [pa.binary()]]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    marked = keyed.withColumn("touched", touched)
-    part = marked.filter("touched").drop("touched").join(merged, ["id", "digest"], "left").select("id", "text", "ranges")
+    touched, untouched = split_by_sieve(keyed, merged, "id", "digest")
+    part = touched.join(merged, ["id", "digest"], "left").select("id", "text", "ranges")
     cut_rows = part.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     size = F.octet_length("text").cast("long")
-    whole = marked.filter("not touched").select(F.nullif("id", F.lit(_NO_ID)).alias("id"), size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("text", "utf-8").alias("kept"))
+    whole = untouched.select(F.nullif("id", F.lit(_NO_ID)).alias("id"), size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("text", "utf-8").alias("kept"))
     return cut_rows.union(whole).withColumnRenamed("id", id_col)
