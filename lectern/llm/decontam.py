@@ -33,8 +33,11 @@ def _sql_string(x: str) -> str:
 
 
 def item_words(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, words) of each item that has a word."""
-    rows = benchmark.select(F.col(f"`{item_col}`").alias("item"), words_of(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("words"))
+    """(key, item, words) of each item that has a word; key numbers the rows, so null and repeated ids stay apart."""
+    rows = benchmark.select(
+        F.monotonically_increasing_id().alias("key"), F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"),
+        words_of(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("words"),
+    )
     return rows.filter(F.size("words") > 0)
 
 
@@ -51,12 +54,12 @@ def rarest_queries(items: DataFrame, frequencies: DataFrame, window: int = WINDO
     """
     n = F.size("words")
     need = F.least(F.lit(window), n)
-    starts = items.select("item", "words", F.explode(F.sequence(F.lit(0), n - need)).alias("start"))
-    places = starts.select("item", "start", F.explode(F.sequence(F.col("start"), F.col("start") + need - 1)).alias("place"), "words")
-    places = places.select("item", "start", "place", F.get("words", F.col("place")).alias("word"))
-    rated = places.join(_small(frequencies), "word", "left").select("item", "start", F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "word", "place").alias("rated"))
-    chosen = rated.groupBy("item", "start").agg(F.min("rated").alias("r")).filter("r.freq > 0").select("item", F.col("r.word").alias("word"), F.col("r.place").alias("place")).distinct()
-    return chosen.join(items, "item").select("word", "item", need.alias("need"), *_around(F.col("words"), F.col("place"), window))
+    starts = items.select("key", "words", F.explode(F.sequence(F.lit(0), n - need)).alias("start"))
+    places = starts.select("key", "start", F.explode(F.sequence(F.col("start"), F.col("start") + need - 1)).alias("place"), "words")
+    places = places.select("key", "start", "place", F.get("words", F.col("place")).alias("word"))
+    rated = places.join(_small(frequencies), "word", "left").select("key", "start", F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "word", "place").alias("rated"))
+    chosen = rated.groupBy("key", "start").agg(F.min("rated").alias("r")).filter("r.freq > 0").select("key", F.col("r.word").alias("word"), F.col("r.place").alias("place")).distinct()
+    return chosen.join(items, "key").select("word", "item", need.alias("need"), *_around(F.col("words"), F.col("place"), window))
 
 
 def _around(words: Column, place: Column, window: int) -> tuple[Column, Column]:
@@ -66,17 +69,19 @@ def _around(words: Column, place: Column, window: int) -> tuple[Column, Column]:
 
 
 def build_index(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, path: str | None = None) -> DataFrame:
-    """Store the index: one row per document with its row number, id, n_words and postings of `terms`.
+    """Store the index: one row per document with the hash of its text, id, n_words and postings of `terms`.
 
-    Every row of `docs` has one, with or without postings.
+    Every row of `docs` has one, with or without postings. What is found in a text is found in its copies, so the
+    hash stands for the row wherever the index is read, whatever order `docs` comes in.
     """
     path = path or scratch_path(docs.sparkSession, "postings")
     wanted = f"m.word in ({', '.join(map(_sql_string, terms))})" if terms else "false"
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), words_of(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("words"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.xxhash64(text).alias("row"), F.col(f"`{id_col}`").alias("id"), words_of(text).alias("words"))
     marked = F.expr(f"filter(transform(words, (w, i) -> struct(w as word, i as pos)), m -> {wanted})")
     rows = rows.withColumn("marked", marked)
     postings = F.transform("marked", lambda m: F.struct(m["word"].alias("word"), m["pos"].alias("pos"), *_around(F.col("words"), m["pos"], window)))
-    rows.select(F.monotonically_increasing_id().alias("row"), "id", F.size("words").cast("long").alias("n_words"), postings.alias("postings")).write.parquet(path)
+    rows.select("row", "id", F.size("words").cast("long").alias("n_words"), postings.alias("postings")).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -103,15 +108,15 @@ def matches(index: DataFrame, queries: DataFrame) -> DataFrame:
     return met.select("row", "item", (F.col("pos") - F.col("left")).alias("low"), (F.col("pos") + F.col("right")).alias("high"), kind.alias("kind")).filter("kind is not null")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, item_text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items, contaminated, n_near.
 
     A word is hit when it lies in an occurrence of a window of an item; n_hit counts such words, items lists the
     ids of the items whose windows occur (as strings, sorted), and n_near the items met by proximity alone. Null
-    texts and items have no words; equal items each count; repeated documents each get their own row; an empty
-    benchmark hits nothing and an empty corpus gives no rows.
+    texts and items have no words; items of one id count once, a null id as the empty string; repeated documents
+    each get their own row; an empty benchmark hits nothing and an empty corpus gives no rows.
     """
-    items = materialise(item_words(benchmark, item_col, "text"), "items")
+    items = materialise(item_words(benchmark, item_col, item_text_col), "items")
     vocabulary = items.select(F.explode("words").alias("word")).distinct()
     frequencies = materialise(word_frequencies(docs, vocabulary, text_col), "frequencies")
     queries = materialise(rarest_queries(items, frequencies, window), "queries")
@@ -122,9 +127,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for index in indexes[1:]:
         found = found.union(matches(index, queries))
     phrases = found.filter("kind = 'phrase'")
-    hits = phrases.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    hits = phrases.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     hits = hits.select("row", "items", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["low"], s["high"]))))).cast("long").alias("n_hit"))
-    near = found.groupBy("row").agg(F.size(F.collect_set(F.when(F.col("kind") == "proximity", F.col("item").cast("string")))).cast("long").alias("n_near"))
+    near = found.groupBy("row").agg(F.size(F.collect_set(F.when(F.col("kind") == "proximity", F.col("item")))).cast("long").alias("n_near"))
     out = indexes[0].select("row", "id", "n_words").join(hits, "row", "left").join(near, "row", "left")
     return out.select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),

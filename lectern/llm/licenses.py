@@ -1,10 +1,12 @@
 """License scans: exact phrases, and an exact containment join of text blocks with license templates.
 
-Everything is DataFrame and SQL functions. A block is a line; a block meets a template when it holds at least
-`threshold` of the template's distinct words. The join is a prefix-filter join: words are ordered by how many
-blocks of the whole corpus hold them, rarest first; a block that meets a template must hold one of the
-template's first n - ceil(t n) + 1 words (prefix), have at least ceil(t n) distinct words (length), and the
-first shared word must leave enough words behind it (position). What is left is verified exactly.
+Everything is DataFrame and SQL functions. Blocks are the lines of a text and its paragraphs (stretches between
+blank lines, so a wrapped notice is one block); a block meets a template when it holds at least `threshold` of the
+template's distinct words. The templates' words are ordered by how many texts of the whole corpus hold them, rarest
+first, and a block's words that stand in any template are put into that order. A block of m such words meets a
+template of n words and need = ceil(t n) only if m >= need (length), their first shared word is among the
+template's first n - need + 1 and the block's first m - need + 1 (prefixes), and as many words as are needed are
+left from its place on, on either side (position). What is left is verified exactly.
 """
 
 from __future__ import annotations
@@ -33,6 +35,15 @@ TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    # The paragraphs that license files and headers print whole.
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced without permission"),
 ]
 
@@ -85,63 +96,68 @@ def scan_phrases(docs: DataFrame, phrases: dict[str, str] = PHRASES, id_col: str
 
 
 def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, words): the distinct words of every line of every text."""
-    lines = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line"))
-    return lines.select("id", "line")
+    """(id, block): every line and every paragraph of every text, equal ones of a text once."""
+    text = F.col(f"`{text_col}`")
+    blocks = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t\r\f\x0B]*\n")))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(blocks).alias("block"))
 
 
-def template_rows(blocks: DataFrame, templates: list[tuple[str, str]], threshold: float) -> list[dict]:
-    """The templates with their words in global frequency order, rarest first (ties by the word)."""
+def template_rows(docs: DataFrame, templates: list[tuple[str, str]], threshold: float, text_col: str) -> tuple[list[dict], list[str]]:
+    """(templates with their words in global frequency order, all their words in it): rarest first, ties by the word."""
     vocabulary = sorted({w for _, t in templates for w in t.split()})
-    held = blocks.filter(F.col("line").rlike(_anywhere(vocabulary)))
-    counted = held.select(F.explode(F.array_distinct(words_of(F.col("line")))).alias("w")).filter(F.col("w").isin(vocabulary)).groupBy("w").count()
+    text = F.col(f"`{text_col}`")
+    counted = docs.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), words_of(text))).alias("w")).groupBy("w").count()
     frequency = {r["w"]: r["count"] for r in counted.collect()}  # at most one row per word of the templates
     rows = []
     for k, (label, text) in enumerate(templates):
         words = sorted(set(text.split()), key=lambda w: (frequency.get(w, 0), w))
         need = math.ceil(threshold * len(words) - 1e-9)
         rows.append({"template": k, "label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1]})
-    return rows
+    return rows, sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
 
 
 def join_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All pairs of a block and a template that it meets: id, line, template, label, containment (0 to 1).
+    """All pairs of a block and a template that it meets: id, block, template, label, containment (0 to 1).
 
-    Each line of each text is a block; repeated lines give repeated rows; null and empty texts give none. The
-    templates are a small parameter and travel as literals.
+    A block that occurs in several rows gives rows for each; null and empty texts give none. The templates are a
+    small parameter and travel as literals.
     """
     if not templates:
         raise ValueError("templates is empty")
-    blocks = blocks_of(docs, id_col, text_col)
-    rows = template_rows(blocks, templates, threshold)
+    rows, order = template_rows(docs, templates, threshold, text_col)
     shortest = min(r["need"] for r in rows)
     prefixes = sorted({w for r in rows for w in r["prefix"]})
-    near = blocks.filter(F.col("line").rlike(_anywhere(prefixes))).withColumn("words", F.array_distinct(words_of(F.col("line"))))
-    near = near.filter(F.size("words") >= shortest)
+    candidates = docs.filter(F.col(f"`{text_col}`").rlike(_anywhere(prefixes)))
+    blocks = blocks_of(candidates, id_col, text_col)
+    # The block's words that stand in a template, in the global order.
+    known = blocks.withColumn("words", F.array_intersect(F.array(*map(F.lit, order)), words_of(F.col("block")))).filter(F.size("words") >= shortest)
     index = docs.sparkSession.createDataFrame(
         [(w, i, r["template"], r["label"], r["words"], r["need"]) for r in rows for i, w in enumerate(r["prefix"])],
         "w string, place int, template int, label string, template_words array<string>, need int",
     )
-    probes = near.withColumn("block", F.monotonically_increasing_id()).select("id", "line", "words", "block", F.explode(F.array_intersect("words", F.array(*map(F.lit, prefixes)))).alias("w"))
-    pairs = probes.join(F.broadcast(index), "w").filter((F.size("words") >= F.col("need")) & (F.size("template_words") - F.col("place") >= F.col("need")))
+    first = F.slice("words", F.lit(1), F.size("words") - shortest + 1)
+    probes = known.select("id", "block", "words", F.posexplode(first).alias("at", "w"))
+    left = (F.size("words") - F.col("at") >= F.col("need")) & (F.size("template_words") - F.col("place") >= F.col("need"))
+    pairs = probes.join(F.broadcast(index), "w").filter(left)
+    # A pair is kept at its first shared word alone, so no pair comes twice and none needs a distinct.
     shared = F.array_intersect("template_words", "words")
-    # A pair is kept at its first shared prefix word alone, so no pair comes twice and none needs a distinct.
     pairs = pairs.withColumn("shared", shared).filter((F.size("shared") >= F.col("need")) & (F.element_at("shared", 1) == F.col("w")))
-    return pairs.select("id", "line", "template", "label", (F.size("shared") / F.size("template_words")).alias("containment")).withColumnRenamed("id", id_col)
+    return pairs.select("id", "block", "template", "label", (F.size("shared") / F.size("template_words")).alias("containment")).withColumnRenamed("id", id_col)
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     labels holds the phrases' labels and those of the templates met; score is the greatest containment of a
-    template met, 1 where a phrase stands, else 0. Rows with the same id share what the join found for it; a
-    null id gets the phrases alone. Null texts are empty, and an empty table gives no rows.
+    template met, 1 where a phrase stands, else 0. Labels belong to a text, which its hash stands for, so null
+    and repeated ids get those of their own row. Null texts are empty, and an empty table gives no rows.
     """
-    base = scan_phrases(docs, id_col=id_col, text_col=text_col)
-    met = join_templates(docs, templates, threshold, id_col, text_col).groupBy(id_col).agg(F.collect_set("label").alias("met"), F.max("containment").alias("best"))
-    out = base.join(met, id_col, "left")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("digest"))
+    base = scan_phrases(rows.withColumn("both", F.struct("id", "digest")), id_col="both").select("both.*", "n_words", "n_base", "first_word", "last_word", "base")
+    met = join_templates(rows, templates, threshold, "digest").groupBy("digest").agg(F.collect_set("label").alias("met"), F.max("containment").alias("best"))
+    out = base.join(met, "digest", "left")
     return out.select(
-        id_col, "n_words", "n_base", "first_word", "last_word",
+        F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word",
         F.array_join("base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat("base", F.coalesce("met", F.expr("cast(array() as array<string>)"))))), ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),

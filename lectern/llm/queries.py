@@ -100,7 +100,7 @@ hits as (
 base as (select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list_sort(list_distinct(list(label))) as base from hits group by doc_id),
 blocks as (
   select doc_id, list_distinct(regexp_extract_all(line, '{_WORD}')) as bw
-  from (select doc_id, unnest(string_split({_LOWER}, chr(10))) as line from documents) x),
+  from (select doc_id, unnest(list_distinct(list_concat(string_split({_LOWER}, chr(10)), regexp_split_to_array({_LOWER}, '\\n[ \\t\\r\\f\\x0B]*\\n')))) as line from documents) x),
 met as (
   select doc_id, list(distinct label) as met, max(len(list_intersect(tw, bw)) / len(tw)) as best from blocks, t
   where len(list_intersect(tw, bw)) >= ceil(0.8 * len(tw) - 1e-9) group by doc_id)
