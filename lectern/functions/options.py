@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from lectern.functions.text import latin_digits, norm_text, page_number
 
 OPTION = "struct<label:string,text:string>"
-#: What parts a label from its option text.
-_LABELLED = r"(?s)^\s*([^)\.ـ:]{1,3})\s*[)\.ـ:]\s*(.*)$"
+_SPLIT = StructType().add("stem", StringType()).add("options", ArrayType(StructType().add("label", StringType()).add("text", StringType())))
+#: Signs that part a label from its option text.
+_PART = r"[).:ـ]"
 # The printed labels of an option, by its place.
 LABELS = [["1", "الف", "ا"], ["2", "ب"], ["3", "ج"], ["4", "د"], ["5", "ه"], ["6", "و"]]
 
@@ -20,8 +25,12 @@ def json_list(text: Column, element: str = "string") -> Column:
 
 
 def first_object(reply: Column) -> Column:
-    """The outermost {...} of a model's reply, without code fences, if it parses; else null."""
-    body = F.regexp_extract(reply, r"(?s)(\{.*\})", 1)
+    """The object of a model's reply: what a code fence holds, else from the first { to the last }; null if it is no JSON."""
+    fenced = F.split(reply, "```(?:json)?", -1)
+    inner = F.when(F.size(fenced) >= 3, F.get(fenced, F.lit(1))).otherwise(reply)
+    start = F.instr(inner, "{")
+    length = F.length(inner) - F.instr(F.reverse(inner), "}") + 2 - start
+    body = F.when((start > 0) & (length > 1), F.substring(inner, start, length))
     return F.when(F.try_parse_json(body).isNotNull(), body)
 
 
@@ -36,8 +45,11 @@ def normalize_options(raw: Column, digits: bool = False) -> Column:
         place = (i + 1).cast("string")
         is_object = x.startswith("{")
         field = lambda *names: F.coalesce(*[F.get_json_object(x, f"$.{n}") for n in names])
-        label = F.when(is_object, F.coalesce(field("label", "option_label", "key"), place)).otherwise(F.coalesce(F.nullif(F.trim(F.regexp_extract(x, _LABELLED, 1)), F.lit("")), place))
-        text = F.when(is_object, F.coalesce(field("text", "option_text", "value", "content"), F.lit(""))).when(x.rlike(_LABELLED), F.trim(F.regexp_extract(x, _LABELLED, 2))).otherwise(F.trim(x))
+        halves = F.split(x, _PART, 2)
+        name = F.trim(F.get(halves, F.lit(0)))
+        named = (F.size(halves) == 2) & F.length(name).between(1, 3)
+        label = F.when(is_object, F.coalesce(field("label", "option_label", "key"), place)).when(named, name).otherwise(place)
+        text = F.when(is_object, F.coalesce(field("text", "option_text", "value", "content"), F.lit(""))).when(named, F.trim(F.get(halves, F.lit(1)))).otherwise(F.trim(x))
         return F.struct((latin_digits(label) if digits else label).alias("label"), (norm_text(text) if digits else text).alias("text"))
 
     return F.transform(json_list(raw), read)
@@ -50,60 +62,47 @@ def polished_options(raw: Column) -> Column:
 
 # --- options printed in the text ---------------------------------------------------------------------------
 
-_FA = r"ء-غف-يٮ-ٯٱ-ۓ"
-_LABEL = rf"(?:[0-9۰-۹]{{1,2}}|[{_FA}]{{1,3}})"
-_CLOSER = r"[)\].\-ـ:،٬؛»]"
-_BETWEEN = rf"\s+(?=[(\[]{_LABEL}\s*{_CLOSER}?|{_LABEL}\s*{_CLOSER})"
-_CHOICE = rf"^\s*[(\[]?[0-9۰-۹]{{1,2}}\s*{_CLOSER}?\s+(\S.*)$"
-
-
-def _texts_of_line(line: Column) -> Column:
-    """The option texts printed on one line; none if the line holds no choice."""
-    none = F.expr("cast(array() as array<string>)")
+#: A choice's number where it stands alone: opened by a bracket, or closed by a sign.
+_NUMBER = re.compile(r"(?<!\S)(?:[(\[]\s*(\d{1,2})\s*[)\]]?(?=\s)|(\d{1,2})\s*(?:[)\]]|[.:،ـ-](?=\s)))")
 
-    def take(found: Column, piece: Column) -> Column:
-        joined = F.concat(F.slice(found, 1, F.size(found) - 1), F.array(F.trim(F.concat(F.element_at(found, -1), F.lit(" "), piece))))
-        return F.when(piece.rlike(_CHOICE), F.concat(found, F.array(F.trim(F.regexp_extract(piece, _CHOICE, 1))))).when(F.size(found) > 0, joined).otherwise(found)
 
-    several = F.aggregate(F.split(line, _BETWEEN), none, take)
-    return F.when(F.size(several) > 1, several).when(line.rlike(_CHOICE), F.array(F.trim(F.regexp_extract(line, _CHOICE, 1)))).otherwise(none)
+def printed_choices(text: str) -> tuple[str, list[str]]:
+    """(stem, choices): the choices are what stands between the numbers 1, 2, 3, ... of a text, two at least."""
+    marks = []
+    for m in _NUMBER.finditer(text):
+        if int(m[1] or m[2]) == len(marks) + 1:
+            marks.append(m)
+    if len(marks) < 2:
+        return text, []
+    ends = [m.start() for m in marks[1:]] + [len(text)]
+    choices = [" ".join(text[m.end() : end].split()) for m, end in zip(marks, ends)]
+    return (text[: marks[0].start()].strip(), choices) if all(choices) else (text, [])
 
 
-def split_options(text: Column) -> Column:
-    """struct<stem, options>: the choices printed in a text and what stands before them.
+@F.pandas_udf(_SPLIT)
+def split_options(texts: pd.Series) -> pd.DataFrame:
+    """struct<stem, options>: the choices printed in a text and what stands before them; null is the empty text.
 
     Fewer than two choices leave the text whole. Options are numbered from 1.
     """
-    whole = F.coalesce(text, F.lit(""))
-    lines = F.split(whole, "\n")
-    texts = F.transform(lines, _texts_of_line)
-    first = F.array_position(F.transform(texts, lambda t: F.size(t) > 0), True).cast("int")
-    options = F.transform(F.flatten(texts), lambda t, i: F.struct((i + 1).cast("string").alias("label"), t.alias("text")))
-    stem = F.trim(F.array_join(F.slice(lines, F.lit(1), F.greatest(first - 1, F.lit(0))), "\n"))
-    found = F.size(options) > 1
-    return F.struct(F.when(found, stem).otherwise(whole).alias("stem"), F.when(found, options).otherwise(F.expr(f"cast(array() as array<{OPTION}>)")).alias("options"))
-
-
-def _label_index(label: Column) -> Column:
-    bare = F.trim(F.regexp_replace(F.trim(label), r"^[()\[\]]+|[()\[\]]+$", ""))
-    return F.when(bare.rlike("^[0-9۰-۹]{1,3}$"), latin_digits(bare).cast("int"))
+    found = [printed_choices(x or "") for x in texts]
+    options = [[{"label": str(k + 1), "text": c} for k, c in enumerate(choices)] for _, choices in found]
+    return pd.DataFrame({"stem": [stem for stem, _ in found], "options": options})
 
 
-def _is_stub(option: Column) -> Column:
-    """Whether an option's text is nothing but its own label, once or twice."""
-    text, own = F.trim(option["text"]), _label_index(option["label"])
-    numbers = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("([0-9۰-۹]{1,2})"), F.lit(1)), lambda x: latin_digits(x).cast("int")))
-    rest = F.regexp_replace(text, _LABEL, "")
-    bare = ~rest.rlike(r"[\p{L}0-9]") & (F.size(numbers) > 0)
-    return (text == "") | (bare & (own.isNull() | ((F.size(numbers) == 1) & (F.get(numbers, F.lit(0)) == own))))
+def _says_only_its_label(option: Column) -> Column:
+    """Whether an option's text holds no sign but the number that is its label, however often."""
+    numbers = F.regexp_extract_all(latin_digits(option["text"]), F.lit("([0-9]+)"), F.lit(1))
+    other = option["text"].rlike(r"[\p{L}\p{Sc}]|[^\p{Nd}\s\p{P}ـ]")
+    return ~other & F.forall(numbers, lambda x: x == latin_digits(F.trim(option["label"])))
 
 
 def clean_options(raw: Column, text: Column) -> Column:
     """struct<stem, options>: choices in the text win; a list of bare labels is no list; else the list stands."""
     printed, listed = split_options(text), normalize_options(raw)
-    stub = F.forall(listed, _is_stub)
     none = F.expr(f"cast(array() as array<{OPTION}>)")
-    return F.when(F.size(printed["options"]) > 0, printed).otherwise(F.struct(F.coalesce(text, F.lit("")).alias("stem"), F.when(stub, none).otherwise(listed).alias("options")))
+    kept = F.struct(F.coalesce(text, F.lit("")).alias("stem"), F.when(F.forall(listed, _says_only_its_label), none).otherwise(listed).alias("options"))
+    return F.when(F.size(printed["options"]) > 0, printed).otherwise(kept)
 
 
 def clean_label(label: Column) -> Column:
