@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import rows, text
 from lectern.operators import audit, linking, review, stats, usage
+from lectern.plans import console, scalars, windows, writes  # noqa: F401  (each registers its queries)
+from lectern.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from lectern.sources import tables
 from lectern.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 #: The time of reference of the usage report.
 NOW = "2024-01-31 00:00:00"
 
 
-def query(sql: str | None = None, views: bool = True):
-    """Register a query under its function's name, with its SQL over the bank's views, or over the plain tables."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = tables.with_views(sql) if views else sql
-        return f
-
-    return register
-
-
 def _bank(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tables.questions(spark, sf_dir), tables.answers(spark, sf_dir), tables.sources(spark, sf_dir)
 
