@@ -227,6 +227,15 @@ def subject_roll(spark, sf_dir):
   select 'question_without_source' as "check", count(*) as failures from q where source_id is not null and source_id not in (select id from s)
   union all select 'answer_without_question', count(*) from a where question_id is not null and question_id not in (select id from q)
   union all select 'question_without_text', count(*) from q where coalesce(trim(question_text), '') = ''
+  union all select 'question_without_subject', count(*) from q where coalesce(trim(subject), '') = ''
+  union all select 'question_without_number', count(*) from q where question_number is null
+  union all select 'question_without_grade', count(*) from q where grade is null
+  union all select 'question_state_unknown', count(*) from q where coalesce(review_status, '') not in ('pending', 'approved', 'rejected', 'unlinked')
+  union all select 'answer_without_number', count(*) from a where question_number is null
+  union all select 'answer_state_unknown', count(*) from a where coalesce(review_status, '') not in ('pending', 'approved', 'rejected', 'unlinked')
+  union all select 'answer_unlinked_but_approved', count(*) from a where question_id is null and review_status = 'approved'
+  union all select 'source_without_file', count(*) from s where coalesce(trim(file_name), '') = ''
+  union all select 'source_without_subject', count(*) from s where subject is null
   union all select 'linked_grade_differs', count(*) from l where grade <> q_grade
   union all select 'linked_subject_differs', count(*) from l where subject <> q_subject)
   select *, failures = 0 as ok from c""")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from lectern.functions.text import ARABIC, LATIN, PERSIAN, restore_zwnj
 
@@ -265,9 +265,23 @@ def _bare(text: str) -> str:
 fix_coefficients = _column(_coefficients)
 #: Delimiters around environments, commands, and indices or powers in prose.
 wrap_bare = _column(_bare)
-sanitize_math = _column(lambda text: in_pieces(text, _coefficients, lambda x: _bare(_coefficients(x))))
+sanitize_math = _column(lambda text: _sanitized(text))
 #: 0-9 inside math, Persian digits in prose.
-digit_policy = _column(lambda text: in_pieces(text, lambda x: x.translate(_TO_LATIN), lambda x: x.translate(_TO_PERSIAN)))
+digit_policy = _column(lambda text: _digits_by_kind(text))
+
+
+def _sanitized(text: str) -> str:
+    return in_pieces(text, _coefficients, lambda x: _bare(_coefficients(x)))
+
+
+def _digits_by_kind(text: str) -> str:
+    return in_pieces(text, lambda x: x.translate(_TO_LATIN), lambda x: x.translate(_TO_PERSIAN))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def polished_list(lists: pd.Series) -> pd.Series:
+    """`sanitize_math` and `digit_policy` of each text of a list; Spark allows no Python inside `transform`."""
+    return lists.map(lambda texts: [x and _digits_by_kind(_sanitized(x)) for x in texts], na_action="ignore")
 
 
 def delimiters_balanced(text: Column) -> Column:

@@ -63,10 +63,18 @@ def parse_grade(value: Column) -> Column:
 
 def norm_scalar(value: Column) -> Column:
     """A comparable form: 12, 12.0 and their Persian spelling are all '12'; other text is folded; '' is null."""
-    number = parse_number(value)
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-    text = F.lower(norm_text(latin_digits(value.cast("string"))))
-    return F.when(whole, number.cast("bigint").cast("string")).when(number.isNotNull(), number.cast("string")).otherwise(F.nullif(text, F.lit("")))
+
+    def read(digits: Column) -> Column:
+        plain = F.regexp_replace(F.trim(digits), "(?<=[0-9])_(?=[0-9])", "")
+        number = F.coalesce(plain.try_cast("bigint").cast("double"), plain.try_cast("double"))
+        return F.struct(F.nullif(F.lower(norm_text(digits)), F.lit("")).alias("text"), number.alias("number"))
+
+    def say(x: Column) -> Column:
+        whole = (x["number"] == F.floor(x["number"])) & (F.abs(x["number"]) < 1e15)
+        return F.when(whole, x["number"].cast("bigint").cast("string")).when(x["number"].isNotNull(), x["number"].cast("string")).otherwise(x["text"])
+
+    # Arrays of one element: a lambda's variable is computed once, however often it is used.
+    return F.get(F.transform(F.transform(F.array(latin_digits(value.cast("string"))), read), say), F.lit(0))
 
 
 def match_number(value: Column) -> Column:

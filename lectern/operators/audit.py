@@ -42,7 +42,9 @@ def polish(df: DataFrame, texts: list[str], tags: list[str] = ["subject", "topic
     if "year" in df.columns:
         out = out.withColumn("year", text.latin_digits(F.col("year").cast("string")))
     if "options" in df.columns:
-        out = out.withColumn("options_read", F.transform(options.polished_options(F.col("options")), lambda o: F.struct(o["label"].alias("label"), healed(o["text"]).alias("text"))))
+        out = out.withColumn("options_read", options.polished_options(F.col("options")))
+        out = out.withColumn("options_healed", maths.polished_list(F.transform("options_read", lambda o: text.norm_text(o["text"]))))
+        out = out.withColumn("options_read", F.transform("options_read", lambda o, i: F.struct(o["label"].alias("label"), F.get("options_healed", i).alias("text")))).drop("options_healed")
         out = out.withColumn("options", F.to_json("options_read"))
         if {"correct_option_label", "correct_option_text"} <= set(df.columns):
             label, answer = F.nullif(F.trim(text.latin_digits(F.col("correct_option_label"))), F.lit("")), F.nullif(F.col("correct_option_text"), F.lit(""))

@@ -11,6 +11,7 @@ import threading
 import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,10 +102,17 @@ def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> dict
     kind, statement = guard(spark, sql, set(tables))
     begin, out = time.monotonic(), {"kind": kind, "columns": [], "rows": [], "truncated": False, "affected": None, "error": None}
     group = uuid.uuid4().hex
-    # The timer is armed before the first job, so that a statement whose planning runs jobs is bounded too.
-    timer = threading.Timer(SECONDS, spark.sparkContext.cancelJobGroup, [group])
+    done = threading.Event()
+
+    def stop_when_late() -> None:
+        # Again and again: a job that planning delayed past the limit starts after the first time.
+        late = not done.wait(SECONDS)
+        while late:
+            spark.sparkContext.cancelJobGroup(group)
+            late = not done.wait(0.5)
+
     spark.sparkContext.setJobGroup(group, "console", True)
-    timer.start()
+    threading.Thread(target=stop_when_late, daemon=True).start()
     try:
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
@@ -118,10 +126,10 @@ def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> dict
             if target:
                 where = re.split(r"(?is)\bwhere\b", statement, maxsplit=1)[1]
                 out["affected"] = tables[target[1].lower()].filter(where).count()
-    except PySparkException as e:
+    except (PySparkException, Py4JError) as e:
         out["error"] = str(e).splitlines()[0]
     finally:
-        timer.cancel()
+        done.set()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     return out | {"elapsed_ms": round((time.monotonic() - begin) * 1000)}
 

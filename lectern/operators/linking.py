@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.rows import is_missing
 from lectern.functions.text import canonical_year, fold, match_number, norm_scalar, parse_number
+from lectern.session import materialise
 
 # What identifies a pair and what confirms it.
 IDENTITY = ["question_number", "subject", "topic", "grade"]
@@ -22,7 +23,7 @@ def comparison(df: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     keyed = df.withColumn("number_key", match_number(F.col("question_number"))).withColumn("corp_key", fold(F.col("corp"))).withColumn("year_key", canonical_year(F.col("year")))
     if tags is None:
         return keyed
-    named = keyed.join(F.broadcast(tags.select(F.col("fold_key").alias("corp_key"), fold(F.col("tag")).alias("tag_key"))), "corp_key", "left")
+    named = keyed.join(tags.select(F.col("fold_key").alias("corp_key"), fold(F.col("tag")).alias("tag_key")), "corp_key", "left")
     return named.withColumn("corp_key", F.coalesce("tag_key", "corp_key")).drop("tag_key")
 
 
@@ -106,11 +107,11 @@ def pair(questions: DataFrame, answers: DataFrame) -> DataFrame:
     other questions the first of each identity (by id) takes an unlinked answer that is alone with it; several such
     answers are ambiguous for all, and what is left over is unmatched. Set form of a walk in id order.
     """
-    q = questions.select(F.col("id").alias("question_id"), identity_key().alias("key"))
-    a = answers.select(F.col("id").alias("answer_id"), F.col("question_id").alias("linked"), identity_key().alias("key"))
+    q = materialise(questions.select(F.col("id").alias("question_id"), identity_key().alias("key")), "question-keys")
+    a = materialise(answers.select(F.col("id").alias("answer_id"), F.col("question_id").alias("linked"), identity_key().alias("key")), "answer-keys")
     direct = a.filter("linked is not null").join(q.select(F.col("question_id").alias("linked")), "linked", "left_semi")
     per_question = direct.groupBy(F.col("linked").alias("question_id")).agg(F.count("*").alias("n_direct"), F.min("answer_id").alias("direct"))
-    marked = q.join(per_question, "question_id", "left")
+    marked = materialise(q.join(per_question, "question_id", "left"), "question-links")
     by_id = marked.filter("n_direct is not null").select("question_id", F.when(F.col("n_direct") == 1, F.col("direct")).alias("answer_id"), F.lit("id").alias("how"), F.when(F.col("n_direct") > 1, "qa_ambiguous_pair").alias("reason"))
     free = a.filter("linked is null and key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("answer_id").alias("only"))
     trying = marked.filter("n_direct is null")
@@ -121,7 +122,7 @@ def pair(questions: DataFrame, answers: DataFrame) -> DataFrame:
         "question_id", F.when(takes, F.col("only")).alias("answer_id"), F.lit("key").alias("how"),
         F.when(F.col("n") > 1, "qa_ambiguous_pair").when(F.coalesce(takes, F.lit(False)), F.lit(None)).otherwise("qa_unmatched_answer").alias("reason"),
     )
-    paired = by_id.union(by_key)
+    paired = materialise(by_id.union(by_key), "pairs")
     used = paired.filter("answer_id is not null").select("answer_id")
     tried = trying.filter("key is not null").select("key").distinct().withColumn("tried", F.lit(True))
     crowded_key = free.filter("n > 1").select("key").withColumn("crowded", F.lit(True)).join(tried, "key").select("key", "crowded")

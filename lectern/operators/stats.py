@@ -47,13 +47,10 @@ def answer_picture_matrix(questions: DataFrame, answers: DataFrame) -> DataFrame
 
 def facet_values(questions: DataFrame) -> DataFrame:
     """(facet, value): the distinct values of each facet as text; nulls are left out, blanks too where noted."""
-    drop_blank = ["corp", "difficulty"]
-    parts = []
-    for c in ("subject", "topic", "grade", "corp", "difficulty"):
-        value = F.col(c).cast("string")
-        rows = questions.select(F.lit(c).alias("facet"), value.alias("value")).filter("value is not null")
-        parts.append((rows.filter("value <> ''") if c in drop_blank else rows).distinct())
-    return reduce(DataFrame.union, parts)
+    blank_out = ("corp", "difficulty")
+    value = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in blank_out else F.col(c).cast("string")
+    facets = [F.struct(F.lit(c).alias("facet"), value(c).alias("value")) for c in ("subject", "topic", "grade", "corp", "difficulty")]
+    return questions.select(F.explode(F.array(*facets)).alias("x")).select("x.*").filter("value is not null").distinct()
 
 
 def overview(tables: dict[str, DataFrame]) -> DataFrame:
@@ -86,7 +83,11 @@ def subject_roll(questions: DataFrame, sources: DataFrame) -> DataFrame:
 
 def checks(named: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     """(check, failures, ok): for each name how many rows of its table meet the condition that none should."""
-    parts = [df.agg(F.lit(name).alias("check"), F.count_if(bad).alias("failures")) for name, (df, bad) in named.items()]
+    tables = {id(df): df for df, _ in named.values()}
+    parts = []
+    for key, df in tables.items():  # all conditions on one table in one scan
+        counts = [F.struct(F.lit(name).alias("check"), F.count_if(bad).alias("failures")) for name, (t, bad) in named.items() if id(t) == key]
+        parts.append(df.agg(F.array(*counts).alias("x")).select(F.explode("x").alias("x")).select("x.*"))
     return reduce(DataFrame.union, parts).withColumn("ok", F.col("failures") == 0)
 
 
@@ -102,6 +103,15 @@ def parity_checks(questions: DataFrame, answers: DataFrame, sources: DataFrame)
         "question_without_source": (orphan_q, F.lit(True)),
         "answer_without_question": (orphan_a, F.lit(True)),
         "question_without_text": (questions, F.coalesce(F.trim("question_text") == "", F.lit(True))),
+        "question_without_subject": (questions, F.coalesce(F.trim("subject") == "", F.lit(True))),
+        "question_without_number": (questions, F.col("question_number").isNull()),
+        "question_without_grade": (questions, F.col("grade").isNull()),
+        "question_state_unknown": (questions, ~F.coalesce(F.col("review_status").isin("pending", "approved", "rejected", "unlinked"), F.lit(False))),
+        "answer_without_number": (answers, F.col("question_number").isNull()),
+        "answer_state_unknown": (answers, ~F.coalesce(F.col("review_status").isin("pending", "approved", "rejected", "unlinked"), F.lit(False))),
+        "answer_unlinked_but_approved": (answers, F.col("question_id").isNull() & (F.col("review_status") == "approved")),
+        "source_without_file": (sources, F.coalesce(F.trim("file_name") == "", F.lit(True))),
+        "source_without_subject": (sources, F.col("subject").isNull()),
         "linked_grade_differs": (linked, differs("grade", "q_grade")),
         "linked_subject_differs": (linked, differs("subject", "q_subject")),
     })

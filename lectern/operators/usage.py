@@ -107,24 +107,19 @@ def daily_gauge(usage: DataFrame, overrides: str = "", default: int = DAY_LIMIT)
     return counts.withColumn("cap", cap).withColumn("spent", F.col("used") >= F.col("cap"))
 
 
-def running_latency(usage: DataFrame, alpha: float = ALPHA, block: str = "day") -> DataFrame:
+def running_latency(usage: DataFrame, alpha: float = ALPHA, newest: int = 200) -> DataFrame:
     """(model, latency): the exponentially weighted mean of ms in the order of time; 0 counts as not set yet.
 
-    The weight of a value falls by (1 - alpha) with each later one, so the mean of n values is a sum of weighted
-    values. Per day and model a partial (weighted sum, remaining factor) is folded in order inside one
-    array, and the days' partials are folded again: no group holds more than one day's rows of one model, and
-    the second fold one row per day.
+    A value's weight falls by (1 - alpha) with each later one, the first value seeds the mean. The weight of what
+    lies behind the `newest` values is under 1e-30, so they decide the mean to double precision. Each partition
+    keeps no more than these of a model before the shuffle, so a model's traffic does not meet in one task.
     """
-    rows = usage.filter("ms is not null and ms > 0").withColumn("day", zone_day(F.col("ts")))
-    rows = rows.withColumn("part", F.date_trunc("hour" if block == "hour" else "day", F.col("ts").cast("timestamp")))
-    listed = rows.groupBy("model", "part").agg(F.array_sort(F.collect_list(F.struct("ts", "id", F.col("ms").cast("double").alias("ms")))).alias("values"))
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("left"))
-    fold = F.aggregate(F.slice("values", F.lit(2), F.size("values")), zero, lambda s, v: F.struct((s["sum"] * (1 - alpha) + alpha * v["ms"]).alias("sum"), (s["left"] * (1 - alpha)).alias("left")))
-    partial = listed.select("model", "part", F.element_at("values", 1)["ms"].alias("head"), fold.alias("f"))
-    days = partial.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("part", "head", "f"))).alias("parts"))
-    step = lambda old, head: F.when(old == 0, head).otherwise(alpha * head + (1 - alpha) * old)
-    latency = F.aggregate("parts", F.lit(0.0), lambda old, p: step(old, p["head"]) * p["f"]["left"] + p["f"]["sum"])
-    return days.select("model", latency.alias("latency"))
+    rows = usage.filter("ms is not null and ms > 0")
+    rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("ts"), F.desc("id")))
+    last = rows.select("model", "ts", "id", F.col("ms").cast("double").alias("ms")).withColumn("rank", rank).filter(F.col("rank") <= newest + 1)
+    counted = last.groupBy("model").agg(F.max("rank").alias("n"))
+    weight = F.when((F.col("rank") == F.col("n")) & (F.col("n") <= newest), F.pow(F.lit(1 - alpha), F.col("rank") - 1)).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("rank") - 1))
+    return last.join(counted, "model").groupBy("model").agg(F.sum(F.col("ms") * weight).alias("latency"))
 
 
 def last_calls(usage: DataFrame, n: int = 200) -> DataFrame:
