@@ -28,6 +28,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -165,12 +166,11 @@ class Transducer:
 
     def arcs(self, symbols: str, i: int) -> list[tuple[int, int]]:
         """The arcs (to, piece) that leave a position, the longest last."""
-        state, out, j = self.start, [], i
-        for c in symbols[i:]:
+        state, out = self.start, []
+        for j, c in enumerate(symbols[i:] if i else symbols, i + 1):
             state = state[0].get(c)
             if state is None:
                 break
-            j += 1
             if state[1] >= 0:
                 out.append((j, state[1]))
         if not out or out[0][0] > i + 1:
@@ -194,14 +194,20 @@ class Transducer:
             else:
                 dead.add(at)
                 stack.pop()
-        return [(a[0], b[1]) for a, b in zip(stack, stack[1:])]
+        return [(a[0], b[1]) for a, b in pairwise(stack)]
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the acceptor lets b follow a; a is -1 at the start."""
         if len(self.pairs) >= REMEMBERED:
             self.pairs.clear()
         ends = [self.string(x) for x in (a, b) if x >= 0]
-        found = self.pairs[(a + 1 << 21) + b] = self.merged("".join(ends)) == ends
+        whole = "".join(ends)
+        # The merges never end with two neighbours that make a piece, and always with characters that make none.
+        if a >= 0 and whole in self.order:
+            found = False
+        else:
+            found = len(whole) == len(ends) or self.merged(whole) == ends
+        self.pairs[(a + 1 << 21) + b] = found
         return found
 
     def string(self, piece: int) -> str:
