@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontam, licenses, line_dedup, lm_score, pieces, quality, sharding, simhash, substring_dedup, token_files
+from lectern.llm import decontam, licenses, line_dedup, lm_score, packing, pieces, quality, sharding, simhash, substring_dedup, token_files
 from lectern.session import scratch_path, table
 
 
@@ -71,6 +71,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1,024 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
@@ -82,6 +89,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_pieces": op9_pieces,
     "op10_line_dedup": op10_line_dedup,
+    "op12_packing": op12_packing,
 }
 
 _TEMPLATE_VALUES = ", ".join(f"({k}, '{label}', ['" + "', '".join(sorted(set(text.split()))) + "'])" for k, (label, text) in enumerate(licenses.TEMPLATES))
