@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontam, licenses, line_dedup, lm_score, packing, pieces, quality, sharding, simhash, substring_dedup, token_files
+from lectern.llm import collocations, decontam, licenses, line_dedup, lm_score, packing, pieces, quality, sharding, simhash, substring_dedup, token_files
 from lectern.session import scratch_path, table
 
 
@@ -78,6 +78,11 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_license_scan": op2_license_scan,
@@ -90,6 +95,7 @@ QUERIES = {
     "op9_pieces": op9_pieces,
     "op10_line_dedup": op10_line_dedup,
     "op12_packing": op12_packing,
+    "op13_collocations": op13_collocations,
 }
 
 _TEMPLATE_VALUES = ", ".join(f"({k}, '{label}', ['" + "', '".join(sorted(set(text.split()))) + "'])" for k, (label, text) in enumerate(licenses.TEMPLATES))
@@ -153,4 +159,22 @@ rest as (
   where not exists (select 1 from gone g where g.doc_id = y.doc_id and g.number = y.number) group by doc_id)
 select d.doc_id, coalesce(rest.text, '') as text, len(string_split(d.text, chr(10)))::bigint as n_lines, coalesce(g.n, 0)::bigint as n_deleted
 from documents d left join rest using (doc_id) left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_id)""",
+    "op13_collocations": f"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p),
+t as (select lang, sum(len(w))::bigint as n from w group by lang),
+g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, range(1, 6) r(k)) x),
+f as (select lang, k, phrase, count(*) as f from g group by lang, k, phrase having count(*) >= 100),
+c as (
+  select * from f x where k > 1 and not exists (
+    select 1 from f y where y.lang = x.lang and y.k > x.k and 100 * y.f >= 100 * x.f and contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))),
+cuts as (
+  select lang, k, phrase, f, i, array_to_string(string_split(phrase, ' ')[1:i], ' ') as head, array_to_string(string_split(phrase, ' ')[i + 1:], ' ') as tail
+  from (select *, unnest(range(1, k)) as i from c) x),
+scored as (
+  select cuts.lang, cuts.phrase, cuts.f as a, l.f as l, r.f as r, t.n, i, (1000::hugeint * cuts.f * t.n) // (l.f::hugeint * r.f) as score
+  from cuts join f l on l.lang = cuts.lang and l.phrase = head join f r on r.lang = cuts.lang and r.phrase = tail join t on t.lang = cuts.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, i) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked where rank <= 2000""",
 }
