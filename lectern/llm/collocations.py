@@ -27,7 +27,7 @@ from lectern.llm.common import small_batches
 from lectern.session import materialise
 
 #: Bytes of text in one shard's automaton.
-SHARD = 8 << 20
+SHARD = 4 << 20
 #: Bits of a sieve: a power of two, eight for each frequent phrase, between these bounds.
 SIEVE_BITS = (1 << 16, 1 << 27)
 #: Buckets that a language's phrases are dealt to before its best are chosen.

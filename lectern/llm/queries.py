@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import collocations, decontam, licenses, line_dedup, lm_score, packing, pieces, quality, sharding, simhash, substring_dedup, token_files
+from lectern.llm import collocations, decontam, licenses, line_dedup, lm_score, packing, pieces, quality, repair, sharding, simhash, substring_dedup, token_files
 from lectern.session import scratch_path, table
 
 
@@ -71,6 +71,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1,024 tokens."""
     import public_tokenizers
@@ -94,6 +99,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_pieces": op9_pieces,
     "op10_line_dedup": op10_line_dedup,
+    "op11_repair": op11_repair,
     "op12_packing": op12_packing,
     "op13_collocations": op13_collocations,
 }
@@ -159,6 +165,44 @@ rest as (
   where not exists (select 1 from gone g where g.doc_id = y.doc_id and g.number = y.number) group by doc_id)
 select d.doc_id, coalesce(rest.text, '') as text, len(string_split(d.text, chr(10)))::bigint as n_lines, coalesce(g.n, 0)::bigint as n_deleted
 from documents d left join rest using (doc_id) left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_id)""",
+    "op11_repair": """
+with recursive tab as (
+  select list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+named as (
+  select coalesce('=' || conv_id, ' ') as conv, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ord(x)::bigint) as key
+  from conversations),
+lots as (
+  select named.*, xor(list_reduce(list_prepend(4294967295, key), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 as lot from named, tab),
+harmed as (
+  select conv, turn, case when lot = 4 then 'user' else role end as role, case lot when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from lots, unnest(range(case lot when 0 then 0 when 3 then 2 else 1 end)) copies where lot <> 0),
+placed as (select *, row_number() over (partition by conv order by turn nulls first, role, text) as i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from harmed),
+t as (
+  select conv, i, turn, role, text, left(role, 1) as c, left(lag(role) over w, 1) || left(role, 1) as pair,
+    case when body = '' then 'blank' when row_number() over (partition by conv, role, text order by i) > 1 then 'duplicate' when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault
+  from placed window w as (partition by conv order by i)),
+facts as (
+  select conv, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+  from t group by conv),
+path as (
+  select conv, 0::bigint as i, 'x' as state, 0::bigint as cost, '' as audit, []::varchar[] as said from facts
+  union all
+  select conv, i, state, best.c, best.a, best.s from (
+    select p.conv, p.i + 1 as i,
+      case letter when 'D' then p.state when 'K' then t.c else case p.state when 'u' then 'a' else 'u' end end as state,
+      min(struct_pack(
+        c := p.cost + (case letter when 'D' then 2 when 'R' then 1 else 0 end + case when letter <> 'D' and fault = 'truncated' then 5 else 0 end)::bigint, a := p.audit || letter,
+        s := list_concat(p.said, case letter when 'D' then [] when 'K' then [t.role || ':' || t.text] else [case p.state when 'u' then 'assistant:' else 'user:' end || t.text] end))) as best
+    from path p join t on t.conv = p.conv and t.i = p.i + 1, (values ('K'), ('R'), ('D')) v(letter)
+    where letter = 'D' or fault not in ('blank', 'duplicate') and (letter = 'R' or p.state || t.c in ('xs', 'xu', 'su', 'ua', 'au'))
+    group by 1, 2, 3) x),
+best as (
+  select conv, min(struct_pack(c := cost, a := audit, s := said)) as best from path join facts using (conv) where path.i = n and state in ('x', 'a') group by conv)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit, sha256(coalesce(array_to_string(best.s, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join facts on facts.conv = coalesce('=' || o.conv_id, ' ') left join best on best.conv = facts.conv""",
     "op13_collocations": f"""
 with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
 w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from p),

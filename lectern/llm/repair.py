@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +125,7 @@ def _segments(columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds.get(n, pa.int64())) for n in names], names)
 
 
-def _of_rows(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+def _of_rows(rows: pa.Table, starts: np.ndarray, bits: int) -> pa.RecordBatch:
     """Segments of turns: their counts, and the ways through them."""
     first, number = starts[:-1], np.diff(starts)
     get = {c: rows.column(c).to_numpy() for c in ("pos", "role", "blank", "repeated", "cut")}
@@ -145,7 +146,7 @@ def _of_rows(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
     found = _walk(
         pa.table({"seg": pa.array(seg, pa.int32()), "i": pa.array(np.arange(len(seg)) - np.repeat(first, number), pa.int32()), "kind": pa.array(kinds, pa.int32())}),
         pa.table(dict(zip(("kind", "state", "leave", "cost", "letter"), zip(*_moves(), strict=True), strict=True))),
-        _entries(get["pos"][first] & ((1 << SEGMENT) - 1) == 0),
+        _entries(get["pos"][first] & ((1 << bits) - 1) == 0),
         pa.table({"seg": pa.array(np.arange(len(first)), pa.int32()), "n": pa.array(number, pa.int32())}),
     )
     total = {n: np.add.reduceat(x, first, dtype=np.int64) for n, x in (("blank", blank), ("duplicate", repeated), ("truncated", cut), ("illegal", inside & ~legal), ("turns", fresh))}
@@ -290,7 +291,7 @@ def _digests(rows: DataFrame) -> DataFrame:
     return parts.filter("sha256 is not null").select("conv", "sha256").union(split.mapInArrow(chained, "conv string, sha256 string"))
 
 
-def repair(rows: DataFrame, conv_col: str = "conv_id", role_col: str = "role", text_col: str = "text", turn_col: str = "turn") -> DataFrame:
+def repair(rows: DataFrame, conv_col: str = "conv_id", role_col: str = "role", text_col: str = "text", turn_col: str = "turn", bits: int = SEGMENT) -> DataFrame:
     """The faults of each conversation and its cheapest repair. Rows stand in the order of their turns, nulls first.
 
     One row for each conversation: conv, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
@@ -311,7 +312,7 @@ def repair(rows: DataFrame, conv_col: str = "conv_id", role_col: str = "role", t
     first = turns.groupBy("conv", "role", "digest").agg(F.min("pos").alias("pos")).select("pos", F.lit(False).alias("again"))
     light = turns.select("conv", "pos", "turn", F.col("code").alias("role"), "blank", "cut").join(first, "pos", "left")
     light = light.withColumn("repeated", F.coalesce("again", F.lit(True))).drop("again")
-    level = materialise(_dealt(light, F.shiftright("pos", SEGMENT)).mapInArrow(lambda x: _by_segment(x, _of_rows), _SEGMENTS), "segments")
+    level = materialise(_dealt(light, F.shiftright("pos", bits)).mapInArrow(lambda x: _by_segment(x, partial(_of_rows, bits=bits)), _SEGMENTS), "segments")
     levels, done = [], []
     while True:
         several = level.groupBy("conv").count().filter("count > 1").select("conv")
@@ -320,7 +321,7 @@ def repair(rows: DataFrame, conv_col: str = "conv_id", role_col: str = "role", t
         more = level.join(several, "conv", "left_semi")
         if several.isEmpty():
             break
-        level = materialise(_dealt(more, SEGMENT).mapInArrow(lambda x: _by_segment(x, _of_segments), _SEGMENTS), "segments")
+        level = materialise(_dealt(more, bits).mapInArrow(lambda x: _by_segment(x, _of_segments), _SEGMENTS), "segments")
     best = F.array_min(F.transform(F.filter("ways", lambda w: (w.entry == 0) & w.leave.isin(0, 3)), lambda w: F.struct(w.cost.alias("cost"), w.audit.alias("audit"), w.leave.alias("leave"), w.steps.alias("steps"))))
     top = [d.withColumn("best", best) for d in done]
     # Down again: the way through a segment says which way was taken through each of its parts.
@@ -333,7 +334,7 @@ def repair(rows: DataFrame, conv_col: str = "conv_id", role_col: str = "role", t
     taken = taken.withColumnsRenamed({"entry": "way_entry", "leave": "way_leave"})
     way = F.filter("ways", lambda w: (w.entry == F.col("way_entry")) & (w.leave == F.col("way_leave")))[0]
     chosen = materialise(levels[0].join(taken, ["conv", "key"]).select("conv", "key", "whole", F.col("way_entry").alias("entry"), way["audit"].alias("audit")), "chosen")
-    met = turns.withColumn("key", F.shiftright("pos", SEGMENT)).join(chosen, ["conv", "key"])
+    met = turns.withColumn("key", F.shiftright("pos", bits)).join(chosen, ["conv", "key"])
     digests = _digests(met.repartition("conv", "key").sortWithinPartitions("conv", "key", "pos").select("conv", "key", "whole", "entry", "audit", "code", "role", "text"))
     audits = chosen.groupBy("conv").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "audit"))), lambda x: x.audit), "").alias("audit"))
     gaps = F.coalesce(F.col("max_turn") - F.col("min_turn") + 1 - F.col("turns"), F.lit(0))
@@ -344,10 +345,10 @@ def repair(rows: DataFrame, conv_col: str = "conv_id", role_col: str = "role", t
     return out.join(audits, "conv").join(digests.withColumnRenamed("sha256", "repaired_sha256"), "conv")
 
 
-def repair_damaged(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def repair_damaged(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", bits: int = SEGMENT) -> DataFrame:
     """`repair` of the rows after `damaged`, one row for each conversation of `rows`; one that lost all its rows has zeros."""
     ids = rows.select(F.col(f"`{conv_col}`").alias("conv_id")).distinct().withColumn("conv", conv_key("conv_id"))
-    found = ids.join(repair(damaged(rows, conv_col, turn_col, role_col, text_col)), "conv", "left")
+    found = ids.join(repair(damaged(rows, conv_col, turn_col, role_col, text_col), bits=bits), "conv", "left")
     numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", *_COUNTS[:4], "cost")]
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return found.select(F.col("conv_id").alias(conv_col), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
