@@ -7,6 +7,9 @@ first, and a block's words that stand in any template are put into that order. A
 template of n words and need = ceil(t n) only if m >= need (length), their first shared word is among the
 template's first n - need + 1 and the block's first m - need + 1 (prefixes), and as many words as are needed are
 left from its place on, on either side (position). What is left is verified exactly.
+
+A template of fewer than `SHORT` words has to be met whole, and the words that name a license are needed in any case:
+a notice about another license differs from a short template in just these.
 """
 
 from __future__ import annotations
@@ -47,6 +50,11 @@ TEMPLATES = [
     ("proprietary", "all rights reserved no part of this publication may be reproduced without permission"),
 ]
 
+#: Words under which a template has to be met whole.
+SHORT = 10
+#: Words that tell licenses apart; a block has to hold those that its template holds.
+NAMES = {"gnu", "apache", "cc", "by", "creative", "commons", "attribution", "mit", "mozilla"}
+
 #: Word characters of a raw text (A-Z are lower-cased after the match), and what parts words.
 _IN, _OUT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
@@ -111,15 +119,16 @@ def template_rows(docs: DataFrame, templates: list[tuple[str, str]], threshold:
     rows = []
     for k, (label, text) in enumerate(templates):
         words = sorted(set(text.split()), key=lambda w: (frequency.get(w, 0), w))
-        need = math.ceil(threshold * len(words) - 1e-9)
-        rows.append({"template": k, "label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1]})
+        need = len(words) if len(words) < SHORT else math.ceil(threshold * len(words) - 1e-9)
+        rows.append({"template": k, "label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1], "names": [w for w in words if w in NAMES]})
     return rows, sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
 
 
 def join_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All pairs of a block and a template that it meets: id, block, template, label, containment (0 to 1).
 
-    A block that occurs in several rows gives rows for each; null and empty texts give none. The templates are a
+    A block meets a template with `threshold` of its words, all of them if it has fewer than `SHORT`, and with those
+    of `NAMES` in it. A block that occurs in several rows gives rows for each; null and empty texts give none. The templates are a
     small parameter and travel as literals.
     """
     if not templates:
@@ -132,8 +141,8 @@ def join_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     # The block's words that stand in a template, in the global order.
     known = blocks.withColumn("words", F.array_intersect(F.array(*map(F.lit, order)), words_of(F.col("block")))).filter(F.size("words") >= shortest)
     index = docs.sparkSession.createDataFrame(
-        [(w, i, r["template"], r["label"], r["words"], r["need"]) for r in rows for i, w in enumerate(r["prefix"])],
-        "w string, place int, template int, label string, template_words array<string>, need int",
+        [(w, i, r["template"], r["label"], r["words"], r["need"], r["names"]) for r in rows for i, w in enumerate(r["prefix"])],
+        "w string, place int, template int, label string, template_words array<string>, need int, names array<string>",
     )
     first = F.slice("words", F.lit(1), F.size("words") - shortest + 1)
     probes = known.select("id", "block", "words", F.posexplode(first).alias("at", "w"))
@@ -141,7 +150,7 @@ def join_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     pairs = probes.join(F.broadcast(index), "w").filter(left)
     # A pair is kept at its first shared word alone, so no pair comes twice and none needs a distinct.
     shared = F.array_intersect("template_words", "words")
-    pairs = pairs.withColumn("shared", shared).filter((F.size("shared") >= F.col("need")) & (F.element_at("shared", 1) == F.col("w")))
+    pairs = pairs.withColumn("shared", shared).filter((F.size("shared") >= F.col("need")) & (F.element_at("shared", 1) == F.col("w")) & (F.size(F.array_except("names", "words")) == 0))
     return pairs.select("id", "block", "template", "label", (F.size("shared") / F.size("template_words")).alias("containment")).withColumnRenamed("id", id_col)
 
 

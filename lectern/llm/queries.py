@@ -123,7 +123,8 @@ blocks as (
   from (select doc_id, unnest(list_distinct(list_concat(string_split({_LOWER}, chr(10)), regexp_split_to_array({_LOWER}, '\\n[ \\t\\r\\f\\x0B]*\\n')))) as line from documents) x),
 met as (
   select doc_id, list(distinct label) as met, max(len(list_intersect(tw, bw)) / len(tw)) as best from blocks, t
-  where len(list_intersect(tw, bw)) >= ceil(0.8 * len(tw) - 1e-9) group by doc_id)
+  where len(list_intersect(tw, bw)) >= case when len(tw) < {licenses.SHORT} then len(tw) else ceil(0.8 * len(tw) - 1e-9) end
+    and len(list_intersect(list_intersect(tw, {sorted(licenses.NAMES)}), bw)) = len(list_intersect(tw, {sorted(licenses.NAMES)})) group by doc_id)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
   array_to_string(coalesce(base, []), ',') as base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(met, [])))), ',') as labels,
