@@ -145,7 +145,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents come in the order of their ids; rows equal in id and text are one document and share one result.
     Null texts stay null; a null id comes before all others; blank lines stay; a text that loses all its lines
-    becomes empty; an empty table gives no rows. Columns named n_lines or n_deleted are replaced, others stay.
+    becomes empty; an empty table gives no rows. Columns named n_lines or n_deleted, in any case, are replaced, others stay.
     Only the texts that may lose a line are shuffled, to meet the numbers of their lines.
     """
     ident, digest, deleted = fresh(docs, "id_key", "digest_key", "deleted_key")
@@ -158,7 +158,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), deleted)
     kept = F.when(F.col(deleted).isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
-    others = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    others = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
     met = touched.join(found.hint("merge"), [ident, digest], "left")
     met = met.select(*[F.col(f"`{c}`") if c != text_col else kept.alias(c) for c in others], n_lines, F.coalesce(F.size(deleted), F.lit(0)).cast("long").alias("n_deleted"))
     return met.unionByName(whole.select(*[F.col(f"`{c}`") for c in others], n_lines, F.lit(0).cast("long").alias("n_deleted")))
