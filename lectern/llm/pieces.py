@@ -40,6 +40,8 @@ BLANK = "▁"
 FALLBACK = 10.0
 #: Segments whose ids a worker remembers, and the longest one it does; results do not depend on either.
 REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+#: Pairs of pieces of which a worker remembers whether one may follow the other, and ids that are decoded at once.
+PAIRS, DECODED = 800_000, 1 << 20
 
 
 def character_map(blob: bytes) -> dict[str, str]:
@@ -126,6 +128,9 @@ class Transducer:
         inner = [p.piece for p in normal.values() if BLANK in p.piece.lstrip(BLANK)]
         if inner or any("\n" in p.piece or "\0" in p.piece for p in normal.values()) or not all(self.byte_id):
             raise ValueError("pieces that cross blanks or line ends, or a model without byte fallback")
+        spelled = [self.bytes_of.get(i, b"") for i in range(len(self.strings))]
+        self.flat, self.sizes = np.frombuffer(b"".join(spelled), np.uint8), np.array(list(map(len, spelled)), np.int32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.normalise = Normaliser(model.normalizer_spec)
         self.spelled = max(cost.values()) + FALLBACK
         self.known: dict[str, bytes] = {}
@@ -198,10 +203,10 @@ class Transducer:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the acceptor lets b follow a; a is -1 at the start."""
-        if len(self.pairs) >= REMEMBERED:
-            self.pairs.clear()
         ends = [self.string(x) for x in (a, b) if x >= 0]
-        found = self.pairs[(a + 1 << 21) + b] = self.merged("".join(ends)) == ends
+        found = self.merged("".join(ends)) == ends
+        if len(self.pairs) < PAIRS:
+            self.pairs[(a + 1 << 21) + b] = found
         return found
 
     def string(self, piece: int) -> str:
@@ -224,16 +229,20 @@ class Transducer:
             ids = known.get(s)
             if ids is None:
                 ids = np.array(self.path(s), np.int32).tobytes()
-                if len(s) <= REMEMBERED_LENGTH:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
+                if len(s) <= REMEMBERED_LENGTH and len(known) < REMEMBERED:
                     known[s] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The normalised text of ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")[len(self.normalise.prefix) :]
+        parts = []
+        for at in range(0, len(ids), DECODED):
+            part = ids[at : at + DECODED]
+            n = self.sizes[part]
+            upto = np.cumsum(n)
+            parts.append(self.flat[np.arange(upto[-1]) + np.repeat(self.starts[part] - (upto - n), n)].tobytes())
+        return b"".join(parts).decode("utf-8", "replace")[len(self.normalise.prefix) :]
 
 
 @lru_cache(maxsize=2)
