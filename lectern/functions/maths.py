@@ -7,6 +7,7 @@ close; every rule then works on pieces. The scanner is Python over Arrow batches
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -92,6 +93,10 @@ def _is_letter_of_prose(sign: str) -> bool:
     return "؀" <= sign <= "ۿ" or "ݐ" <= sign <= "ݿ"
 
 
+#: Signs that may stand in TeX anywhere: ASCII punctuation but what delimits, quotes, or marks names and clauses.
+_OPERATORS = frozenset(string.punctuation) - frozenset("\\{}$") - frozenset("\"`") - frozenset("#@") - frozenset(".,;:")
+
+
 def _atoms(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of each stretch that could be TeX: commands, closed groups, Latin words and numbers, operators."""
     at = 0
@@ -107,7 +112,7 @@ def _atoms(text: str) -> Iterator[tuple[int, int]]:
         elif sign.isascii() and sign.isalnum():
             while end < len(text) and text[end].isascii() and text[end].isalnum():
                 end += 1
-        elif sign in "+-*/=<>|&()[]~%'!?_^":
+        elif sign in _OPERATORS:
             end = at + 1
         elif sign in ".,;:":
             around = text[max(at - 1, 0) : at + 2]
@@ -200,12 +205,71 @@ def clean_stored(text: Column) -> Column:
 # --- notation inside math -----------------------------------------------------------------------------------
 
 _STATES = ("(g)", "(l)", "(s)", "(aq)")
-_ELEMENT = r"[A-Z][a-z]?"
-_COUNT = r"_(?:[0-9]+|\{[0-9]+\})"
-#: Elements in a row with their counts, where no command, word or group goes on.
-_compound = re.compile(rf"(?<![A-Za-z\\{{_^])(?:{_ELEMENT}(?:{_COUNT})?)+")
-_counted = re.compile(rf"((?:{_ELEMENT})+)(?:_\{{?([0-9]+)\}}?)?")
-_bond = re.compile(rf"(?<![A-Za-z\\{{]){_ELEMENT}(?:\s*[-=≡]\s*{_ELEMENT})+(?![A-Za-z0-9_])")
+
+
+def _element(text: str, at: int) -> int:
+    """The end of the element's letters that begin at `at`; `at` if none does."""
+    if text[at : at + 1] not in string.ascii_uppercase or at >= len(text):
+        return at
+    return at + 1 + (text[at + 1 : at + 2].isascii() and text[at + 1 : at + 2].islower())
+
+
+def _count(text: str, at: int) -> tuple[int, str]:
+    """(end, digits) of an index of digits, in braces or not; (at, "") if there is none."""
+    begin = at + 1 + (text[at + 1 : at + 2] == "{")
+    end = begin
+    while end < len(text) and text[end].isascii() and text[end].isdigit():
+        end += 1
+    closed = begin == at + 1 or text[end : end + 1] == "}"
+    if text[at : at + 1] != "_" or end == begin or not closed:
+        return at, ""
+    return end + (begin > at + 1), text[begin:end]
+
+
+def _goes_on(text: str, at: int, signs: str) -> bool:
+    """Whether a word, or one of `signs`, stands right before `at`."""
+    return at > 0 and (text[at - 1] in signs or text[at - 1].isascii() and text[at - 1].isalpha())
+
+
+def _compounds(text: str) -> Iterator[tuple[int, int, list[tuple[str, str]]]]:
+    """(start, end, [letters, count]) of each row of elements: two elements, or one with a count."""
+    at = 0
+    while at < len(text):
+        end, elements, parts, open_letters = at, 0, [], ""
+        while not _goes_on(text, at, "\\{_^") and (upto := _element(text, end)) > end:
+            elements, open_letters = elements + 1, open_letters + text[end:upto]
+            end, digits = _count(text, upto)
+            if digits:
+                parts.append((open_letters, digits))
+                open_letters = ""
+        if open_letters:
+            parts.append((open_letters, ""))
+        if elements > 1 or elements and parts[0][1]:
+            yield at, end, parts
+        at = max(end, at + 1)
+
+
+def _bonds(text: str) -> str:
+    """Elements joined by signs for bonds, upright as a whole."""
+    out, at = [], 0
+    while at < len(text):
+        ends, end = [], at if _goes_on(text, at, "\\{") else _element(text, at)
+        while end > at:
+            ends.append(end)
+            sign = end + len(text[end:]) - len(text[end:].lstrip())
+            after = sign + 1 + len(text[sign + 1 :]) - len(text[sign + 1 :].lstrip())
+            if text[sign : sign + 1] not in tuple("-=≡"):
+                break
+            end = _element(text, after)
+            if end == after:
+                break
+        # A last element that a word, number or index follows is none.
+        if ends and (text[ends[-1] : ends[-1] + 1] == "_" or text[ends[-1] : ends[-1] + 1].isascii() and text[ends[-1] : ends[-1] + 1].isalnum()):
+            ends.pop()
+        end = ends[-1] if len(ends) > 1 else at + 1
+        out.append(f"\\mathrm{{{text[at:end]}}}" if len(ends) > 1 else text[at:end])
+        at = end
+    return "".join(out)
 
 
 def _scripts(text: str) -> str:
@@ -223,17 +287,14 @@ brace_subscripts = _column(lambda text: around_macros(text, ("mathrm",), _script
 def _upright(body: str) -> str:
     """Compounds in upright letters with braced counts, and their states upright behind them; bonds upright."""
     out, at = [], 0
-    for m in _compound.finditer(body):
-        parts = _counted.findall(m[0])
-        if len(re.findall(_ELEMENT, m[0])) < 2 and not parts[0][1]:
-            continue
-        state = next((s for s in _STATES if body.startswith(s, m.end())), "")
-        out.append(body[at : m.start()])
+    for start, end, parts in _compounds(body):
+        state = next((s for s in _STATES if body.startswith(s, end)), "")
+        out.append(body[at:start])
         out += [f"\\mathrm{{{letters}}}" + (f"_{{{count}}}" if count else "") for letters, count in parts]
         out.append(f"\\mathrm{{{state}}}" if state else "")
-        at = m.end() + len(state)
+        at = end + len(state)
     body = "".join(out) + body[at:]
-    return around_macros(body, ("mathrm",), lambda x: x, lambda x: _bond.sub(lambda m: f"\\mathrm{{{m[0]}}}", x))
+    return around_macros(body, ("mathrm",), lambda x: x, _bonds)
 
 
 def _notation(body: str) -> str:
