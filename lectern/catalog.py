@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import rows, text
 from lectern.operators import audit, linking, review, stats, usage
-from lectern.plans import console, scalars, windows, writes  # noqa: F401  (each registers its queries)
+from lectern.plans import console, scalars, store, windows, writes  # noqa: F401  (each registers its queries)
 from lectern.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from lectern.sources import tables
 from lectern.session import table
@@ -475,12 +475,11 @@ def revision_counters(spark, sf_dir):
     return audit.counters(_reports(spark, sf_dir))
 
 
-@query(f"""{_NULLS}, b as (select distinct entity_id from r where entity = 'question' and field in ('corp', 'year'))
+@query(f"""{_NULLS}, b as (select distinct entity_id from r where entity = 'question')
   select id, case when b.entity_id is not null then 'needs_human' else 'revised' end as revision_status, b.entity_id is not null as needs_review from q left join b on b.entity_id = q.id""")
 def finalised(spark, sf_dir):
     """The revision status that reports lead to."""
-    found = _reports(spark, sf_dir).filter("field in ('corp', 'year')")
-    return audit.finalise(tables.questions(spark, sf_dir), found, "question")
+    return audit.finalise(tables.questions(spark, sf_dir), _reports(spark, sf_dir), "question")
 
 
 @query("""select q.id, coalesce(nullif(case when q.id % 10 = 0 then 'checked' else '' end, ''), q.difficulty) as difficulty, q.id % 2 = 0 as answered,

@@ -57,3 +57,9 @@ def axis_step(largest: Column, ticks: int = 5) -> Column:
     power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
     unit = raw / power
     return F.when(largest > 0, power * F.when(unit <= 1, 1.0).when(unit <= 2, 2.0).when(unit <= 2.5, 2.5).when(unit <= 5, 5.0).otherwise(10.0)).otherwise(1.0)
+
+
+def distinct_values(*columns: str) -> Column:
+    """The values of a row's columns, each once, in order, nulls and blank ones left out."""
+    values = F.array(*[F.col(c).cast("string") for c in columns])
+    return F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (F.trim(x) != "")))

@@ -1,7 +1,6 @@
-"""The SQL console: a guard in front of Spark's own parser, and results with a cap.
+"""The SQL console: a guard behind Spark's own parser, results with a cap, and writes to a store.
 
-Nothing is planned before the guard lets it through. It reads the statement's relations and functions from the
-parsed plan, so a second table behind a comma or inside a subquery counts like any other.
+Nothing is planned before the guard lets it through.
 """
 
 from __future__ import annotations
@@ -10,48 +9,60 @@ import re
 import threading
 import time
 import uuid
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.guard import Refused, inspect
+from lectern.session import materialise
+from lectern.sources.store import Conflict, Store
+
 # What a result may hold, and how long a statement may take.
 MOST_ROWS, SECONDS = 1000, 20
-#: Functions that reach outside the data.
-OUTSIDE = {"reflect", "java_method", "try_reflect", "input_file_name", "read_files", "current_user", "session_user", "user", "version"}
 VERBS = {"select": "read", "with": "read", "insert": "write", "update": "write", "delete": "write"}
 
 
-class Refused(ValueError):
-    """What the guard says of a statement that it does not let through."""
-
-
-def scrub(sql: str) -> str:
-    """The statement without comments, each literal as ''; an unterminated one is refused."""
-    out, at = [], 0
+def _parts(sql: str) -> Iterator[tuple[str, str]]:
+    """(code, comment, text or name; the part) of a statement; an unterminated one is refused."""
+    at = begin = 0
     while at < len(sql):
         if sql.startswith("--", at):
             end = sql.find("\n", at)
-            at = len(sql) if end < 0 else end
+            kind, end = "comment", len(sql) if end < 0 else end
         elif sql.startswith("/*", at):
-            end = sql.find("*/", at + 2)
-            if end < 0:
+            end = sql.find("*/", at + 2) + 2
+            if end < 2:
                 raise Refused("unterminated comment")
-            out.append(" ")
-            at = end + 2
+            kind = "comment"
         elif sql[at] in "'\"`":
             quote, end = sql[at], at + 1
             while end < len(sql) and (sql[end] != quote or sql[end + 1 : end + 2] == quote):
                 end += 2 if sql[end] == quote else 1
             if end >= len(sql):
                 raise Refused("unterminated literal")
-            out.append("''" if quote == "'" else sql[at : end + 1])
-            at = end + 1
+            kind, end = "text" if quote == "'" else "name", end + 1
         else:
-            out.append(sql[at])
             at += 1
-    return "".join(out).strip().rstrip(";").strip()
+            continue
+        yield "code", sql[begin:at]
+        yield kind, sql[at:end]
+        at = begin = end
+    yield "code", sql[begin:]
+
+
+def scrub(sql: str) -> str:
+    """The statement without comments, each literal as ''."""
+    out = {"comment": lambda x: " " if x.startswith("/*") else "", "text": lambda x: "''"}
+    return "".join(out.get(kind, str)(part) for kind, part in _parts(sql)).strip().rstrip(";").strip()
+
+
+def _unqualified(sql: str) -> str:
+    """The statement with the names of views for those of tables in a schema, literals left alone."""
+    shorter = lambda x: re.sub(r"(?i)\bpublic\s*\.\s*", "", re.sub(r"(?i)\binformation_schema\s*\.\s*(?=(columns|tables)\b)", "information_schema_", x))
+    return "".join(shorter(part) if kind == "code" else part for kind, part in _parts(sql))
 
 
 def quoted(name: str) -> str:
@@ -62,7 +73,17 @@ def quoted(name: str) -> str:
 
 
 def guard(spark: SparkSession, sql: str, allowed: set[str]) -> tuple[str, str]:
-    """(read or write, the statement): one SELECT, WITH, INSERT, UPDATE or DELETE over the tables `allowed`."""
+    """(read or write, the statement): one SELECT, WITH, INSERT, UPDATE or DELETE over the tables `allowed`.
+
+    The statement's words are looked at for its form alone: one statement, and WHERE written out in an UPDATE or
+    DELETE. What it may do is decided by the nodes of its parsed plan (`operators.guard`).
+    """
+    kind, statement, *_ = _inspected(spark, sql, allowed)
+    return "read" if kind == "read" else "write", statement
+
+
+def _inspected(spark: SparkSession, sql: str, allowed: set[str]) -> tuple:
+    """(read, insert, update or delete; the statement; the table written to; the parsed plan)."""
     if not sql.strip():
         raise Refused("empty")
     if "$" in sql:
@@ -78,59 +99,107 @@ def guard(spark: SparkSession, sql: str, allowed: set[str]) -> tuple[str, str]:
     if verb in ("update", "delete") and not re.search(r"\bwhere\b", bare, re.I):
         raise Refused(f"{verb} needs WHERE")
     statement = sql.strip().rstrip(";")
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).toString()
-    except Exception as e:
-        raise Refused(f"not understood: {str(e).splitlines()[0]}") from None
-    names = {n.replace(" ", "").replace(",", ".").lower() for n in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan)}
-    for n in names - {c.lower() for c in re.findall(r"SubqueryAlias (\w+)", plan) if re.search(rf"\b{c}\s+as\s*\(", bare, re.I)}:
-        if n.removeprefix("public.") not in allowed and not n.startswith("information_schema."):
-            raise Refused(f"table not allowed: {n}")
-    for f in set(re.findall(r"'(\w[\w.]*)\(", plan)):
-        if f.lower() in OUTSIDE or not spark.catalog.functionExists(f):
-            raise Refused(f"function not allowed: {f}")
-    return VERBS[verb], statement
-
-
-def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> dict:
-    """A statement's result over `tables`: kind, columns, rows, truncated, elapsed_ms, affected and error.
-
-    A read gives up to `MOST_ROWS` rows; truncated is true from that number on. An UPDATE or DELETE gives the
-    number of rows that it would change, for the writes of `operators.writes` to apply. What Spark refuses, and
-    a statement over `SECONDS` seconds, is an error in the result; what the guard refuses never reaches Spark.
+    kind, into, _, plan = inspect(spark, statement, allowed)
+    return kind, statement, into, plan
+
+
+def _in_session(session: SparkSession, df: DataFrame) -> DataFrame:
+    """The same rows as a frame of another session."""
+    return _frame(session, df._jdf.queryExecution().logical())
+
+
+def _frame(session: SparkSession, plan) -> DataFrame:
+    return DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
+
+
+def _column(session: SparkSession, expression) -> Column:
+    return Column(session._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+
+
+def _write(store: Store, kind: str, name: str, plan) -> int:
+    """Apply an INSERT, UPDATE or DELETE to a table of the store and publish it; the number of rows that it changed."""
+    session, txn = store.spark, store.begin()
+    table = txn.table(name)
+    columns = txn.read(name).columns
+    if kind == "insert":
+        top, insert = plan, plan
+        while insert.getClass().getSimpleName() != "InsertIntoStatement":
+            insert = insert.child()
+        query = insert.query() if top.equals(insert) else top.copy(insert.query(), top.cteRelations(), top.allowRecursion())
+        rows = _frame(session, query)
+        given = [insert.userSpecifiedCols().apply(k).lower() for k in range(insert.userSpecifiedCols().length())] or columns
+        if len(given) != len(rows.columns) or set(given) - set(columns):
+            raise ValueError(f"columns do not fit: {', '.join(given)}")
+        types = dict(txn.read(name).dtypes)
+        rows = rows.toDF(*given).select(*[F.col(c).cast(types[c]).alias(c) if c in given else F.lit(None).cast(types[c]).alias(c) for c in columns])
+        rows = materialise(rows, "inserted")
+        if not txn.read(name).join(rows, table.key, "left_semi").isEmpty() or not rows.groupBy(table.key).count().filter("count > 1").isEmpty():
+            raise ValueError(f"a row with this {table.key} is there already")
+        count = rows.count()
+        txn.merge(name, rows, lambda old, new: old.unionByName(new))
+    else:
+        condition = plan.condition().get() if kind == "update" else plan.condition()
+        where = F.coalesce(_column(session, condition), F.lit(False))
+        count = txn.read(name).filter(where).count()
+        if kind == "delete":
+            txn.update(name, where, lambda rows: rows.filter(~where))
+        else:
+            assigned = [plan.assignments().apply(k) for k in range(plan.assignments().length())]
+            values = {a.key().nameParts().last().lower(): _column(session, a.value()) for a in assigned}
+            if unknown := set(values) - set(columns):
+                raise ValueError(f"unknown columns: {sorted(unknown)}")
+            if table.key in values:
+                raise ValueError(f"not editable: {table.key}")
+            types = dict(txn.read(name).dtypes)
+            change = lambda rows: rows.select(*[F.when(where, values[c].cast(types[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in columns])
+            txn.update(name, where, change)
+    txn.publish()
+    return count
+
+
+def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None, store: Store | None = None) -> dict:
+    """A statement's result: kind, columns, rows, truncated, elapsed_ms, affected and error.
+
+    It runs over `tables`, or over a store's tables, in a session of its own. A read gives up to `MOST_ROWS` rows;
+    truncated is true from that number on. A write changes the store: only files with a row that it changes are
+    written again, and the new version is there whole or not at all. Without a store a write is an error. What Spark
+    refuses, and a statement over `SECONDS` seconds, is an error in the result; what the guard refuses never reaches
+    Spark.
     """
-    kind, statement = guard(spark, sql, set(tables))
-    begin, out = time.monotonic(), {"kind": kind, "columns": [], "rows": [], "truncated": False, "affected": None, "error": None}
-    group = uuid.uuid4().hex
-    done = threading.Event()
-
-    def stop_when_late() -> None:
+    names = set(store.state()["tables"]) if store else set(tables or {})
+    kind, statement, into, plan = _inspected(spark, sql, names)
+    begin, out = time.monotonic(), {"kind": "read" if kind == "read" else "write", "columns": [], "rows": [], "truncated": False, "affected": None, "error": None}
+    group, session = uuid.uuid4().hex, spark.newSession()
+
+    def work() -> None:
+        # The thread has a job group of its own, so the caller's stays as it is.
+        session.sparkContext.setJobGroup(group, "console", True)
+        try:
+            own = Store(session, store.root, store.file_rows) if store else None
+            for name in names:
+                (own.read(name) if own else _in_session(session, tables[name])).createOrReplaceTempView(name)
+            if kind == "read":
+                known = {n: session.table(n) for n in names}
+                if "information_schema" in statement.lower():
+                    schema_rows(session, known, {}).selectExpr("table as table_name", "column as column_name", "position as ordinal_position", "type as data_type").createOrReplaceTempView("information_schema_columns")
+                    session.createDataFrame([(n,) for n in sorted(known)], "table_name string").createOrReplaceTempView("information_schema_tables")
+                found = session.sql(_unqualified(statement))
+                rows = [tuple(r) for r in found.limit(MOST_ROWS).collect()]
+                out.update(columns=found.columns, rows=rows, truncated=len(rows) >= MOST_ROWS)
+            elif own is None:
+                raise ValueError("there is no store to write to")
+            else:
+                out["affected"] = _write(own, kind, into, plan)
+        except (PySparkException, Py4JError, ValueError, Conflict) as e:
+            out["error"] = str(e).splitlines()[0]
+
+    thread = threading.Thread(target=work, daemon=True)
+    thread.start()
+    thread.join(SECONDS)
+    while thread.is_alive():
         # Again and again: a job that planning delayed past the limit starts after the first time.
-        late = not done.wait(SECONDS)
-        while late:
-            spark.sparkContext.cancelJobGroup(group)
-            late = not done.wait(0.5)
-
-    spark.sparkContext.setJobGroup(group, "console", True)
-    threading.Thread(target=stop_when_late, daemon=True).start()
-    try:
-        for name, df in tables.items():
-            df.createOrReplaceTempView(name)
-        if kind == "read":
-            found = spark.sql(re.sub(r"\bpublic\.", "", statement))
-            out["columns"] = found.columns
-            out["rows"] = [tuple(r) for r in found.limit(MOST_ROWS).collect()]
-            out["truncated"] = len(out["rows"]) >= MOST_ROWS
-        else:
-            target = re.match(r"(?is)\s*(?:update|delete\s+from)\s+(?:public\.)?(\w+)", statement)
-            if target:
-                where = re.split(r"(?is)\bwhere\b", statement, maxsplit=1)[1]
-                out["affected"] = tables[target[1].lower()].filter(where).count()
-    except (PySparkException, Py4JError) as e:
-        out["error"] = str(e).splitlines()[0]
-    finally:
-        done.set()
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.cancelJobGroup(group)
+        thread.join(0.5)
     return out | {"elapsed_ms": round((time.monotonic() - begin) * 1000)}
 
 

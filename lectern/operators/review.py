@@ -199,3 +199,46 @@ def page_of_rows(df: DataFrame, sort: str, limit: int = 100, offset: int = 0, fa
     order = F.desc_nulls_last(sort) if falling else F.asc_nulls_last(sort)
     total = found.agg(F.count("*").alias("total"))
     return found.orderBy(order, "id").offset(offset).limit(min(limit, most)).join(F.broadcast(total))
+
+
+def newest(df: DataFrame, most: int, order: str = "created_at") -> DataFrame:
+    """The newest `most` rows, undated ones last, the higher id first among equals."""
+    return df.orderBy(F.desc_nulls_last(order), F.desc("id")).limit(most)
+
+
+def by_numbers(questions: DataFrame, wanted: DataFrame, exclude: DataFrame, scope: str = "subject") -> DataFrame:
+    """Questions whose number, as text, is asked for in their scope (wanted: scope, number), without those of `exclude` (id)."""
+    asked = wanted.select(F.col(scope), F.col("number").cast("string").alias("wanted_number")).distinct()
+    met = questions.withColumn("wanted_number", F.col("question_number").cast("string")).join(asked, [scope, "wanted_number"], "left_semi")
+    return met.join(exclude.select("id").distinct(), "id", "left_anti").select(*questions.columns)
+
+
+def context(questions: DataFrame, ids: DataFrame, wanted: DataFrame, scope: str = "subject") -> DataFrame:
+    """Context for a reader, with origin: the questions asked for by id, then those asked for by number that are not among them."""
+    first = questions.join(ids.select("id").distinct(), "id", "left_semi").select(*questions.columns)
+    return first.withColumn("origin", F.lit("id")).union(by_numbers(questions, wanted, ids, scope).withColumn("origin", F.lit("number")))
+
+
+def _named_views() -> dict[str, Column]:
+    state = F.col("revision_status")
+    return {"flagged": F.col("needs_review"), "revised": state == "revised", "approved": state == "approved", "all": state.isNotNull()}
+
+
+def views(df: DataFrame) -> DataFrame:
+    """(id, view): each row under every named view of the revision that it belongs to."""
+    return df.select("id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in _named_views().items()]))).alias("view"))
+
+
+def view(df: DataFrame, name: str) -> DataFrame:
+    """The rows of one named view; an unknown name is an error."""
+    named = _named_views()
+    if name not in named:
+        raise ValueError(f"no such view: {name}")
+    return df.filter(named[name])
+
+
+def unfinished(rows: DataFrame, batch: str, done: tuple[str, ...] = ("imported",)) -> DataFrame:
+    """The rows of every batch that are still to be done, with seq, their place in the batch by id; a batch may lie over many tasks."""
+    from lectern.operators.chunks import ranked
+
+    return ranked(rows.filter(~F.col("status").isin(*done)), batch, "id", rank="place").withColumn("seq", F.col("place") + 1).drop("place")

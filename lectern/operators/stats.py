@@ -115,3 +115,9 @@ def parity_checks(questions: DataFrame, answers: DataFrame, sources: DataFrame)
         "linked_grade_differs": (linked, differs("grade", "q_grade")),
         "linked_subject_differs": (linked, differs("subject", "q_subject")),
     })
+
+
+def snapshot_totals(df: DataFrame, kind: str, size: str) -> DataFrame:
+    """(kind, rows, bytes): rows and bytes of each kind, and of all under the kind 'all'."""
+    grouped = df.groupBy(kind).agg(F.count("*").alias("rows"), F.sum(size).cast("long").alias("bytes"))
+    return grouped.union(grouped.agg(F.lit("all"), F.sum("rows"), F.sum("bytes")))

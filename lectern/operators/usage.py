@@ -6,6 +6,7 @@ repeat.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ DAY_LIMIT = 20
 MODEL_LIMITS = {"gemini-3.5-flash-lite": 500}
 #: Weight of a new value in the running latency.
 ALPHA = 0.3
+#: A weight that changes no double.
+NEGLIGIBLE = 1e-30
 
 
 def zone_day(ts: Column, zone: str = ZONE) -> Column:
@@ -25,6 +28,11 @@ def zone_day(ts: Column, zone: str = ZONE) -> Column:
     return F.to_date(F.from_utc_timestamp(ts.cast("timestamp"), zone))
 
 
+def period_start(now: Column, days: int) -> Column:
+    """The first day of a period of so many days that ends with the day of `now`."""
+    return F.date_sub(F.to_date(now), days - 1)
+
+
 def next_midnight(ts: Column, zone: str = ZONE) -> Column:
     """The UTC time at which the zone's day of `ts` ends; 23 or 25 hours long where clocks change."""
     return F.to_utc_timestamp(F.date_add(zone_day(ts, zone), 1).cast("timestamp"), zone)
@@ -107,13 +115,17 @@ def daily_gauge(usage: DataFrame, overrides: str = "", default: int = DAY_LIMIT)
     return counts.withColumn("cap", cap).withColumn("spent", F.col("used") >= F.col("cap"))
 
 
-def running_latency(usage: DataFrame, alpha: float = ALPHA, newest: int = 200) -> DataFrame:
+def running_latency(usage: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(model, latency): the exponentially weighted mean of ms in the order of time; 0 counts as not set yet.
 
-    A value's weight falls by (1 - alpha) with each later one, the first value seeds the mean. The weight of what
-    lies behind the `newest` values is under 1e-30, so they decide the mean to double precision. Each partition
-    keeps no more than these of a model before the shuffle, so a model's traffic does not meet in one task.
+    A value's weight falls by (1 - alpha) with each later one, the first value seeds the mean. As many of the newest
+    values are taken as it needs for the weight of what lies behind them to be under `NEGLIGIBLE`, so they decide the
+    mean to double precision. Each partition keeps no more than these of a model before the shuffle, so a model's
+    traffic does not meet in one task.
     """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha is over 0, and 1 at most")
+    newest = 1 if alpha == 1 else math.ceil(math.log(NEGLIGIBLE) / math.log1p(-alpha))
     rows = usage.filter("ms is not null and ms > 0")
     rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("ts"), F.desc("id")))
     last = rows.select("model", "ts", "id", F.col("ms").cast("double").alias("ms")).withColumn("rank", rank).filter(F.col("rank") <= newest + 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import console
+from lectern.operators import console, review, stats
 from lectern.plans.registry import query
 from lectern.sources import tables
 
@@ -44,47 +44,47 @@ def staged_list(spark, sf_dir):
     return console.staged_list(s, source=1, status="staged", has_box=True).select("id", "status", "has_box")
 
 
-@query("select row_number() over (order by id) as seq, id, status from s where grade = 5 and status not in ('imported')")
+@query("select row_number() over (partition by grade order by id) as seq, id, grade, status from s where status not in ('imported')")
 def pending_batch_rows(spark, sf_dir):
-    """The rows of one batch that are still to be imported, in order."""
-    from pyspark.sql import Window
-
-    batch = tables.sources(spark, sf_dir).filter("grade = 5 and status != 'imported'").select("id", "status")
-    return batch.withColumn("seq", F.row_number().over(Window.orderBy("id")))  # one batch, not the table
+    """The rows of every batch that are still to be imported, in order."""
+    return review.unfinished(tables.sources(spark, sf_dir).select("id", "grade", "status"), "grade")
 
 
 @query("select id, file_name, created_at from s order by created_at desc nulls last, id desc limit 50")
 def newest_sources(spark, sf_dir):
     """The newest 50 sources (L4)."""
-    return tables.sources(spark, sf_dir).orderBy(F.desc_nulls_last("created_at"), F.desc("id")).limit(50).select("id", "file_name", "created_at")
+    return review.newest(tables.sources(spark, sf_dir).select("id", "file_name", "created_at"), 50)
 
 
 @query("select type, count(*) as rows, cast(sum(file_size) as bigint) as bytes from s group by type union all select 'all', count(*), cast(sum(file_size) as bigint) from s")
 def snapshot_totals(spark, sf_dir):
     """Rows and bytes by kind and in all."""
-    s = tables.sources(spark, sf_dir)
-    one = lambda df: df.agg(F.count("*").alias("rows"), F.sum("file_size").alias("bytes"))
-    return one(s.groupBy("type")).union(one(s.groupBy(F.lit("all").alias("type"))))
+    return stats.snapshot_totals(tables.sources(spark, sf_dir), "type", "file_size")
+
+
+_WANTED = "select distinct subject, question_number from a where subject is not null and id % 10 = 3"
+
+
+def _wanted(spark, sf_dir):
+    return tables.answers(spark, sf_dir).filter("subject is not null and id % 10 = 3").select("subject", F.col("question_number").alias("number"))
 
 
-@query("select id, question_number from q where subject = '1-URGENT' and question_number::varchar in ('3', '4') and id not in (3, 4, 100)")
+@query(f"select q.id, q.question_number from q join ({_WANTED}) w on w.subject = q.subject and w.question_number::varchar = q.question_number::varchar where q.id not in (select question_id from a where question_id is not null)")
 def questions_by_number(spark, sf_dir):
-    """Questions by number as text, without some ids."""
-    q = tables.questions(spark, sf_dir)
-    return q.filter((F.col("subject") == "1-URGENT") & F.col("question_number").cast("string").isin("3", "4") & ~F.col("id").isin(3, 4, 100)).select("id", "question_number")
+    """The questions that answers ask for by number as text, without those that are linked."""
+    linked = tables.answers(spark, sf_dir).filter("question_id is not null").select(F.col("question_id").alias("id"))
+    return review.by_numbers(tables.questions(spark, sf_dir), _wanted(spark, sf_dir), linked).select("id", "question_number")
 
 
-@query("select id, 'id' as origin from q where id in (1, 2, 3) union all select id, 'number' from q where question_number in (5, 6) and id not in (1, 2, 3)")
+@query(f"""select id, 'id' as origin from q where id in (select question_id from a) union all
+  select q.id, 'number' from q join ({_WANTED}) w on w.subject = q.subject and w.question_number::varchar = q.question_number::varchar where q.id not in (select question_id from a where question_id is not null)""")
 def context_union(spark, sf_dir):
     """Context by id, then by number without those (U4)."""
-    q, ids = tables.questions(spark, sf_dir), [1, 2, 3]
-    return q.filter(F.col("id").isin(ids)).select("id", F.lit("id").alias("origin")).union(q.filter(F.col("question_number").isin(5, 6) & ~F.col("id").isin(ids)).select("id", F.lit("number")))
+    linked = tables.answers(spark, sf_dir).filter("question_id is not null").select(F.col("question_id").alias("id"))
+    return review.context(tables.questions(spark, sf_dir), linked, _wanted(spark, sf_dir)).select("id", "origin")
 
 
 @query("select id, 'flagged' as view from q where needs_review union all select id, 'revised' from q where revision_status = 'revised' union all select id, 'approved' from q where revision_status = 'approved' union all select id, 'all' from q where revision_status is not null")
 def revision_views(spark, sf_dir):
     """All named views of the revision (F8)."""
-    q = tables.questions(spark, sf_dir)
-    views = {"flagged": F.col("needs_review"), "revised": F.col("revision_status") == "revised", "approved": F.col("revision_status") == "approved", "all": F.col("revision_status").isNotNull()}
-    named = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in views.items()]))
-    return q.select("id", F.explode(named).alias("view"))
+    return review.views(tables.questions(spark, sf_dir))

@@ -27,7 +27,7 @@ def row_functions(spark, sf_dir):
 def time_functions(spark, sf_dir):
     """Starts of a week's period, ages in days and waits before retries."""
     seconds = F.timestamp_diff("SECOND", F.col("ts").cast("timestamp"), F.lit("2024-06-01").cast("timestamp"))
-    return table(spark, sf_dir, "events").select("event_id", F.date_sub(F.to_date("ts"), 6).alias("from_day"), (seconds / 86400.0).alias("age_days"), rows.backoff((F.col("event_id") % 8).cast("int")).alias("wait"))
+    return table(spark, sf_dir, "events").select("event_id", usage.period_start(F.col("ts"), 7).alias("from_day"), (seconds / 86400.0).alias("age_days"), rows.backoff((F.col("event_id") % 8).cast("int")).alias("wait"))
 
 
 @query("""select event_id, (timezone('UTC', timezone('America/Los_Angeles', (cast(timezone('America/Los_Angeles', timezone('UTC', ts)) as date) + 1)::timestamp)))::timestamp as reset_at from events""", views=False)
@@ -113,8 +113,9 @@ def vocabulary_topics(spark, sf_dir):
     return vocabulary.topics_of(_vocabulary(spark, sf_dir), F.lit("Brand#11"))
 
 
-@query("select id, list_distinct([corp, subject, corp, topic]) is not null as ok, len(list_distinct(list_filter([corp, subject, corp, topic], lambda x: x is not null)))::int as n from q")
+@query("""select id, len(list_distinct(kept))::int as found, kept[1] as first
+  from (select id, list_filter([corp, subject, corp, topic, difficulty], lambda x: x is not null and trim(x) <> '') as kept from q) x""")
 def distinct_values(spark, sf_dir):
-    """Distinct strings of a row in order."""
-    kept = F.array_distinct(F.filter(F.array("corp", "subject", "corp", "topic"), lambda x: x.isNotNull()))
-    return tables.questions(spark, sf_dir).select("id", F.lit(True).alias("ok"), F.size(kept).alias("n"))
+    """Distinct strings of a row in order (U5): how many, and the first."""
+    kept = rows.distinct_values("corp", "subject", "corp", "topic", "difficulty")
+    return tables.questions(spark, sf_dir).select("id", F.size(kept).alias("found"), F.get(kept, F.lit(0)).alias("first"))

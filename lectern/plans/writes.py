@@ -181,13 +181,6 @@ def replayed_writes(spark, sf_dir):
     return writes.replay(a, a.filter("seq % 6 = 0"), 3).select("seq", "attempts", "outcome")
 
 
-@query("select 'kept_corp' as check, true as ok union all select 'kept_year', true")
-def consolidation_parity(spark, sf_dir):
-    """The parity checks of a consolidation."""
-    q = tables.questions(spark, sf_dir).select("id", "corp", "year")
-    return writes.consolidate(q, q.select("id", F.lit("L").alias("corp"), F.lit("1").alias("year")), ["corp", "year"], complete_backup=True, apply=True)[1]
-
-
 @query("select id, coalesce(corp, 'L') as corp, coalesce(year, '1') as year, null::varchar as extra from q")
 def consolidated(spark, sf_dir):
     """Nulls filled from a legacy table, and a column added."""

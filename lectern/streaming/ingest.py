@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lectern.operators.replay import Handler, Parked, apply_batch, replay
 from lectern.operators.usage import ALPHA, ZONE, zone_day
+from lectern.sources.store import Store
 
 #: A key rests for this many seconds times its failures in a row, an hour at most.
 REST, MOST_REST = 30, 3600
@@ -30,9 +33,37 @@ def records(spark: SparkSession, folder: str, schema: str, archive: str | None =
     return reader.json(folder)
 
 
-def mature(df: DataFrame, seconds: float, modified: str = "modified") -> DataFrame:
-    """Rows of files that are at least so old; the others must be offered again by their producer."""
-    return df.filter(F.col(modified) <= F.current_timestamp() - F.expr(f"interval {seconds} seconds"))
+WAITING = "path string, modified timestamp, payload string"
+
+
+def mature(offered: DataFrame, seconds: float) -> DataFrame:
+    """Files (path, modified, payload) once they have not changed for so many seconds, each state of a file once.
+
+    A file that is too young waits in the stream's state until a timer says that it is old enough; if it is offered
+    again with a later time, the wait begins anew. A file that came out comes again only with a later time. The
+    stream has to run with a trigger that goes on, as timers need batches.
+    """
+    span = datetime.timedelta(seconds=seconds)
+
+    def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, payload, out = state.get if state.exists else (0, None, 0)
+        if not state.hasTimedOut:
+            for batch in batches:
+                last = batch.loc[batch["modified"].idxmax()]
+                at = int(last["modified"].value // 1000)
+                if at >= newest:
+                    newest, payload = at, last["payload"]
+        now = state.getCurrentProcessingTimeMs() * 1000
+        left = newest + span // datetime.timedelta(microseconds=1) - now
+        if newest > out and left <= 0:
+            out = newest
+            yield pd.DataFrame({"path": [key[0]], "modified": pd.to_datetime([newest], unit="us"), "payload": [payload]})
+        elif newest > out:
+            state.setTimeoutDuration(max(1, -(-left // 1000)))
+        state.update((newest, payload if newest > out else None, out))
+
+    held = "newest long, payload string, out long"
+    return offered.groupBy("path").applyInPandasWithState(step, WAITING, held, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def guarded(write: Callable[[DataFrame, int], None], park: Callable[[DataFrame, int], None], most: int) -> Callable[[DataFrame, int], None]:
@@ -52,6 +83,33 @@ def guarded(write: Callable[[DataFrame, int], None], park: Callable[[DataFrame,
     return run
 
 
+def durable(store: Store, parked: Parked, stream: str, steps: Callable[[DataFrame], list[tuple[str, DataFrame]]], handlers: dict[str, Handler], most: int) -> Callable[[DataFrame, int], None]:
+    """A batch function that writes each batch of a stream once, in order, whatever fails in between.
+
+    What is parked is written first; while something of the stream stays parked, new batches are parked behind it.
+    `most` batches in a row that end parked stop the stream.
+    """
+    failures = {"n": 0}
+
+    def run(batch: DataFrame, number: int) -> None:
+        made = [(op, rows) for op, rows in steps(batch)]
+        held = [r for r in replay(store, parked, handlers, 1, {stream}) if r["outcome"] == "held" and r["batch"] != number]
+        error: Exception | None = None
+        if not held:
+            try:
+                apply_batch(store, stream, number, made, handlers)
+                failures["n"] = 0
+                return
+            except Exception as e:  # whatever a handler or the storage raises
+                error = e
+        parked.park(stream, made, number)
+        failures["n"] += 1
+        if failures["n"] >= most:
+            raise Stopped(f"{most} batches in a row failed") from error
+
+    return run
+
+
 def upsert_into(merge: Callable[[DataFrame, DataFrame], DataFrame], read: Callable[[], DataFrame], publish: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A batch function that publishes the table after each batch's keyed write; a batch that comes twice changes nothing more."""
     return lambda batch, number: publish(merge(read(), batch))
