@@ -106,4 +106,6 @@ u as (
 
 def with_views(sql: str) -> str:
     """An oracle over q, a, s and u."""
-    return f"with {SQL.strip()}{',' if sql.lstrip().startswith('with ') else ''}\n{sql.strip().removeprefix('with ')}"
+    body = sql.strip()
+    word = next((w for w in ("with recursive ", "with ") if body.startswith(w)), "")
+    return f"{word or 'with '}{SQL.strip()}{',' if word else ''}\n{body.removeprefix(word)}"
