@@ -13,6 +13,8 @@ from lectern.functions.text import latin_digits, norm_text, page_number
 
 OPTION = "struct<label:string,text:string>"
 _SPLIT = StructType().add("stem", StringType()).add("options", ArrayType(StructType().add("label", StringType()).add("text", StringType())))
+#: Field names of an option's object.
+_FIELDS = ", ".join(f"{n} string" for n in ("label", "option_label", "key", "text", "option_text", "value", "content"))
 #: Signs that part a label from its option text.
 _PART = r"[).:ـ]"
 # The printed labels of an option, by its place.
@@ -41,18 +43,19 @@ def normalize_options(raw: Column, digits: bool = False) -> Column:
     texts have single blanks.
     """
 
-    def read(x: Column, i: Column) -> Column:
-        place = (i + 1).cast("string")
-        is_object = x.startswith("{")
-        field = lambda *names: F.coalesce(*[F.get_json_object(x, f"$.{n}") for n in names])
-        halves = F.split(x, _PART, 2)
-        name = F.trim(F.get(halves, F.lit(0)))
-        named = (F.size(halves) == 2) & F.length(name).between(1, 3)
-        label = F.when(is_object, F.coalesce(field("label", "option_label", "key"), place)).when(named, name).otherwise(place)
-        text = F.when(is_object, F.coalesce(field("text", "option_text", "value", "content"), F.lit(""))).when(named, F.trim(F.get(halves, F.lit(1)))).otherwise(F.trim(x))
+    # Each element is parsed once; the second lambda's variable holds what the first one made.
+    def parse(x: Column, i: Column) -> Column:
+        return F.struct(x.alias("raw"), F.when(x.startswith("{"), F.from_json(x, _FIELDS)).alias("fields"), F.split(x, _PART, 2).alias("halves"), (i + 1).cast("string").alias("place"))
+
+    def read(e: Column) -> Column:
+        field = lambda *names: F.coalesce(*[e["fields"][n] for n in names])
+        name, is_object = F.trim(F.get(e["halves"], F.lit(0))), e["raw"].startswith("{")
+        named = (F.size(e["halves"]) == 2) & F.length(name).between(1, 3)
+        label = F.when(is_object, F.coalesce(field("label", "option_label", "key"), e["place"])).when(named, name).otherwise(e["place"])
+        text = F.when(is_object, F.coalesce(field("text", "option_text", "value", "content"), F.lit(""))).when(named, F.trim(F.get(e["halves"], F.lit(1)))).otherwise(F.trim(e["raw"]))
         return F.struct((latin_digits(label) if digits else label).alias("label"), (norm_text(text) if digits else text).alias("text"))
 
-    return F.transform(json_list(raw), read)
+    return F.transform(F.transform(json_list(raw), parse), read)
 
 
 def polished_options(raw: Column) -> Column:
@@ -111,18 +114,25 @@ def clean_label(label: Column) -> Column:
 
 def _place_of(label: Column) -> Column:
     """The 1-based place that a printed label stands for, else null."""
-    out = F.lit(None).cast("int")
-    for i, names in enumerate(LABELS):
-        out = F.when(label.isin(names), i + 1).otherwise(out)
-    return out
+    places = F.create_map(*[F.lit(x) for i, names in enumerate(LABELS, 1) for n in names for x in (n, i)])
+    return F.try_element_at(places, label)
+
+
+def _spelling(label: Column) -> Column:
+    """One form for all spellings of a label: its place if it stands for one, else the label."""
+    return F.get(F.transform(F.array(clean_label(label)), lambda c: F.struct(c.alias("clean"), F.coalesce(_place_of(c).cast("string"), c).alias("form"), _place_of(c).alias("place"))), F.lit(0))
 
 
 def option_text(options: Column, label: Column) -> Column:
     """The text of the option with this label, in any of its spellings; else of the option at its place."""
-    want = clean_label(label)
-    same = lambda o: (clean_label(o["label"]) == want) | (_place_of(clean_label(o["label"])) == _place_of(want))
-    hit = F.get(F.filter(options, same), F.lit(0))["text"]
-    return F.when(want != "", F.coalesce(hit, F.get(options, _place_of(want) - 1)["text"]))
+
+    def found(x: Column) -> Column:
+        at = F.array_position(F.transform(x["options"], lambda o: _spelling(o["label"])["form"]), x["want"]["form"])
+        hit = F.when(at > 0, F.get(x["options"], at.cast("int") - 1)["text"])
+        return F.when(x["want"]["clean"] != "", F.coalesce(hit, F.get(x["options"], x["want"]["place"] - 1)["text"]))
+
+    # An array of one element: what is wanted is cleaned once, not for every option.
+    return F.get(F.transform(F.array(F.struct(options.alias("options"), _spelling(label).alias("want"))), found), F.lit(0))
 
 
 def text_of_label(options: Column, label: Column) -> Column:

@@ -6,8 +6,9 @@ out unless a docstring says otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 # The digits of the three scripts, in order.
 LATIN = "0123456789"
@@ -77,6 +78,26 @@ def norm_scalar(value: Column) -> Column:
     return F.get(F.transform(F.transform(F.array(latin_digits(value.cast("string"))), read), say), F.lit(0))
 
 
+def with_norms(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """`df` with the comparable forms (`norm_scalar`) of columns, each under a new name: {new name: column}.
+
+    The steps are columns one after another, so each is computed once, in generated code. Whole numbers need none.
+    """
+    kinds = {n: df.schema[c].dataType for n, c in names.items()}
+    whole = {n: c for n, c in names.items() if isinstance(kinds[n], (ByteType, ShortType, IntegerType, LongType))}
+    spelled = {n: c for n, c in names.items() if n not in whole}
+    step = lambda n, k: f"{n}__{k}"
+    as_number = lambda x: F.when(F.abs(x) < 1e15, x.cast("bigint").cast("string")).otherwise(x.cast("double").cast("string"))
+    out = df.withColumns({n: as_number(F.col(c)) for n, c in whole.items()} | {step(n, 0): latin_digits(F.col(c).cast("string")) for n, c in spelled.items()})
+    out = out.withColumns({step(n, 1): F.regexp_replace(F.trim(F.col(step(n, 0))), "(?<=[0-9])_(?=[0-9])", "") for n in spelled})
+    out = out.withColumns({step(n, 2): F.coalesce(F.col(step(n, 1)).try_cast("bigint").cast("double"), F.col(step(n, 1)).try_cast("double")) for n in spelled})
+    for n in spelled:
+        x, folded = F.col(step(n, 2)), F.nullif(F.lower(norm_text(F.col(step(n, 0)))), F.lit(""))
+        exact = (x == F.floor(x)) & (F.abs(x) < 1e15)
+        out = out.withColumn(n, F.when(exact, x.cast("bigint").cast("string")).when(x.isNotNull(), x.cast("string")).otherwise(folded))
+    return out.drop(*[step(n, k) for n in spelled for k in range(3)])
+
+
 def match_number(value: Column) -> Column:
     """The whole part of the number a text spells; null for none, and for what is not finite."""
     number = F.trim(latin_digits(value.cast("string"))).try_cast("double")

@@ -116,6 +116,11 @@ def _column(session: SparkSession, expression) -> Column:
     return Column(session._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
 
 
+def _condition(session: SparkSession, kind: str, plan) -> Column:
+    """The WHERE of an UPDATE or DELETE; null is false."""
+    return F.coalesce(_column(session, plan.condition().get() if kind == "update" else plan.condition()), F.lit(False))
+
+
 def _write(store: Store, kind: str, name: str, plan) -> int:
     """Apply an INSERT, UPDATE or DELETE to a table of the store and publish it; the number of rows that it changed."""
     session, txn = store.spark, store.begin()
@@ -138,8 +143,7 @@ def _write(store: Store, kind: str, name: str, plan) -> int:
         count = rows.count()
         txn.merge(name, rows, lambda old, new: old.unionByName(new))
     else:
-        condition = plan.condition().get() if kind == "update" else plan.condition()
-        where = F.coalesce(_column(session, condition), F.lit(False))
+        where = _condition(session, kind, plan)
         count = txn.read(name).filter(where).count()
         if kind == "delete":
             txn.update(name, where, lambda rows: rows.filter(~where))
@@ -162,9 +166,9 @@ def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None =
 
     It runs over `tables`, or over a store's tables, in a session of its own. A read gives up to `MOST_ROWS` rows;
     truncated is true from that number on. A write changes the store: only files with a row that it changes are
-    written again, and the new version is there whole or not at all. Without a store a write is an error. What Spark
-    refuses, and a statement over `SECONDS` seconds, is an error in the result; what the guard refuses never reaches
-    Spark.
+    written again, and the new version is there whole or not at all. Without a store an UPDATE or DELETE gives the
+    number of rows that it would change, and an INSERT is an error. What Spark refuses, and a statement over `SECONDS`
+    seconds, is an error in the result; what the guard refuses never reaches Spark.
     """
     names = set(store.state()["tables"]) if store else set(tables or {})
     kind, statement, into, plan = _inspected(spark, sql, names)
@@ -186,8 +190,10 @@ def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None =
                 found = session.sql(_unqualified(statement))
                 rows = [tuple(r) for r in found.limit(MOST_ROWS).collect()]
                 out.update(columns=found.columns, rows=rows, truncated=len(rows) >= MOST_ROWS)
-            elif own is None:
+            elif own is None and kind == "insert":
                 raise ValueError("there is no store to write to")
+            elif own is None:
+                out["affected"] = session.table(into).filter(_condition(session, kind, plan)).count()
             else:
                 out["affected"] = _write(own, kind, into, plan)
         except (PySparkException, Py4JError, ValueError, Conflict) as e:

@@ -6,11 +6,13 @@ questions (how many have the number, and the one that does), never all candidate
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.rows import is_missing
-from lectern.functions.text import canonical_year, fold, match_number, norm_scalar, parse_number
+from lectern.functions.text import canonical_year, fold, match_number, parse_number, with_norms
 from lectern.session import materialise
 
 # What identifies a pair and what confirms it.
@@ -91,13 +93,11 @@ def first_match(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return joined.select("id", found.alias("question_id"), F.when(found.isNull(), "unlinked").otherwise("pending").alias("review_status"))
 
 
-def identity_key(columns: list[str] = IDENTITY) -> Column:
-    """The normalised identity as one value; null if a part is missing."""
-    parts = [norm_scalar(F.col(c)) for c in columns]
-    whole = parts[0].isNotNull()
-    for p in parts[1:]:
-        whole = whole & p.isNotNull()
-    return F.when(whole, F.concat_ws("\x1f", *parts))
+def with_identity(df: DataFrame, name: str = "key", columns: list[str] = IDENTITY) -> DataFrame:
+    """`df` with the normalised identity as one value; null if a part is missing."""
+    parts = {f"{name}_{c}": c for c in columns}
+    whole = reduce(Column.__and__, [F.col(p).isNotNull() for p in parts])
+    return with_norms(df, parts).withColumn(name, F.when(whole, F.concat_ws("\x1f", *parts))).drop(*parts)
 
 
 def pair(questions: DataFrame, answers: DataFrame) -> DataFrame:
@@ -107,8 +107,8 @@ def pair(questions: DataFrame, answers: DataFrame) -> DataFrame:
     other questions the first of each identity (by id) takes an unlinked answer that is alone with it; several such
     answers are ambiguous for all, and what is left over is unmatched. Set form of a walk in id order.
     """
-    q = materialise(questions.select(F.col("id").alias("question_id"), identity_key().alias("key")), "question-keys")
-    a = materialise(answers.select(F.col("id").alias("answer_id"), F.col("question_id").alias("linked"), identity_key().alias("key")), "answer-keys")
+    q = materialise(with_identity(questions.select("id", *IDENTITY)).select(F.col("id").alias("question_id"), "key"), "question-keys")
+    a = materialise(with_identity(answers.select("id", "question_id", *IDENTITY)).select(F.col("id").alias("answer_id"), F.col("question_id").alias("linked"), "key"), "answer-keys")
     direct = a.filter("linked is not null").join(q.select(F.col("question_id").alias("linked")), "linked", "left_semi")
     per_question = direct.groupBy(F.col("linked").alias("question_id")).agg(F.count("*").alias("n_direct"), F.min("answer_id").alias("direct"))
     marked = materialise(q.join(per_question, "question_id", "left"), "question-links")
@@ -136,8 +136,8 @@ def pair(questions: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def conflicts(columns: list[str], left: str = "q_", right: str = "a_") -> Column:
-    """The columns that both sides define and that differ once normalised."""
-    differ = lambda c: norm_scalar(F.col(left + c)) != norm_scalar(F.col(right + c))
+    """The columns that both sides define and that differ, given their comparable forms (`with_norms`)."""
+    differ = lambda c: F.col(f"{left}{c}_norm") != F.col(f"{right}{c}_norm")
     return F.array_compact(F.array(*[F.when(differ(c), F.lit(c)) for c in columns]))
 
 
@@ -150,6 +150,7 @@ def backfill(pairs: DataFrame, questions: DataFrame, answers: DataFrame) -> Data
     columns = IDENTITY + CONFIRMING
     side = lambda df, p, key: df.select(F.col("id").alias(key), *[F.col(c).alias(p + c) for c in columns])
     both = pairs.filter("question_id is not null and answer_id is not null").join(side(questions, "q_", "question_id"), "question_id").join(side(answers, "a_", "answer_id"), "answer_id")
+    both = with_norms(both, {f"{p}{c}_norm": p + c for p in ("q_", "a_") for c in columns})
     lends = lambda to, frm, name: [F.when(is_missing(F.col(to + c)) & ~is_missing(F.col(frm + c)), F.lit(f"{name}.{c}")) for c in columns]
     found = F.when(F.col("how") == "id", conflicts(columns)).otherwise(conflicts(CONFIRMING))
     return both.select("question_id", "answer_id", found.alias("conflicts"), F.array_compact(F.array(*lends("a_", "q_", "answer"), *lends("q_", "a_", "question"))).alias("fills"))
