@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import rows, text
 from lectern.operators import audit, linking, review, stats, usage
-from lectern.plans import console, scalars, store, windows, writes  # noqa: F401  (each registers its queries)
+from lectern.plans import console, details, scalars, store, windows, writes  # noqa: F401  (each registers its queries)
 from lectern.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from lectern.sources import tables
 from lectern.session import table

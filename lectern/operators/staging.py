@@ -41,6 +41,25 @@ def stage_questions(replies: DataFrame) -> DataFrame:
     )
 
 
+LEGACY_REPLY = "array<struct<question_number:string,question_text:string,options:string,corp:string,year:string,difficulty:string,raw_ocr_text:string,diagram_bbox:string>>"
+
+
+def legacy_questions(replies: DataFrame) -> DataFrame:
+    """Question rows in their first form, from replies (source_id, subject, topic, grade, reply, url).
+
+    The folder's subject, topic and grade stand whatever the reply says; the position stands in for a missing number;
+    a picture is kept only with a box that is one.
+    """
+    e = _entries(replies, "questions", LEGACY_REPLY).join(replies.select("source_id", "url"), "source_id")
+    number = F.coalesce(F.nullif(F.nullif("question_number", F.lit("")), F.lit("0")), F.col("position").cast("string"))
+    box = boxes.clean_box(boxes.box_from_json(F.col("diagram_bbox")))
+    return e.select(
+        F.concat("source_id", F.lit("-q"), number).alias("id"), "source_id", text.parse_number(number).alias("question_number"), "question_text",
+        F.to_json(options.normalize_options(F.col("options"))).alias("options"), "subject", "topic", "grade", "corp", "year", "difficulty", F.lit("pending").alias("review_status"), "raw_ocr_text",
+        F.to_json(box).alias("diagram_bbox"), F.when(box.isNotNull(), F.col("url")).alias("diagram_url"), F.to_json(rows.tags("subject", "topic")).alias("tags"),
+    )
+
+
 def stage_answers(replies: DataFrame, questions: DataFrame) -> DataFrame:
     """Staged answers of the replies, each with the question that the ladder finds for it and how sure that is."""
     e = _entries(replies, "answers", ANSWER_REPLY)

@@ -121,3 +121,17 @@ def snapshot_totals(df: DataFrame, kind: str, size: str) -> DataFrame:
     """(kind, rows, bytes): rows and bytes of each kind, and of all under the kind 'all'."""
     grouped = df.groupBy(kind).agg(F.count("*").alias("rows"), F.sum(size).cast("long").alias("bytes"))
     return grouped.union(grouped.agg(F.lit("all"), F.sum("rows"), F.sum("bytes")))
+
+
+def uploads_with_counts(sources: DataFrame, questions: DataFrame, most: int = 20) -> DataFrame:
+    """(id, file_name, subject, created_at, questions) of the newest `most` sources: the cut comes before the count."""
+    newest = sources.orderBy(F.desc_nulls_last("created_at"), F.desc("id")).limit(most).select("id", "file_name", "subject", "created_at")
+    counts = questions.join(F.broadcast(newest.select(F.col("id").alias("source_id"))), "source_id", "left_semi").groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("questions"))  # `most` rows
+    return newest.join(counts, "id", "left").withColumn("questions", F.coalesce("questions", F.lit(0)))
+
+
+def subject_totals(questions: DataFrame) -> DataFrame:
+    """(subject, total, approved, needs_review) of each subject."""
+    return questions.groupBy("subject").agg(
+        F.count("*").alias("total"), F.count_if(F.col("review_status") == "approved").alias("approved"), F.count_if("needs_review").alias("needs_review"),
+    )
