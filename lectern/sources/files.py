@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import datetime
 import json
-import os
 import re
-import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DateType, DecimalType, NumericType, TimestampNTZType, TimestampType
 
+from lectern.sources.hdfs import Files
+
 # What a scan takes and what it leaves.
 EXTENSIONS = ["jpg", "jpeg", "png", "webp", "pdf"]
 KINDS = ["question", "answer"]
@@ -31,7 +31,8 @@ TABLE_NAME = r"[a-z_][a-z0-9_]*"
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, rel_path, modified, size) of every file below a folder; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + re.escape(os.path.abspath(root)) + "/", "")
+    base = Files(spark).plain(root) + "/"
+    rel = F.substr("path", F.instr("path", base) + F.lit(len(base)))
     return files.select("path", rel.alias("rel_path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
@@ -69,7 +70,7 @@ def scan(spark: SparkSession, root: str, now: datetime.datetime, least_age: floa
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The objects of a JSON array or of JSON lines; a missing, empty or broken file gives no rows."""
-    if not os.path.exists(path):
+    if not Files(spark).exists(path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
 
@@ -114,66 +115,57 @@ def write_backup(tables: dict[str, DataFrame | None], root: str, now: datetime.d
     A table that is None is missing and noted. The manifest comes last and by a rename, so a set with one is whole.
     """
     name = now.strftime("%Y%m%d-%H%M%S")
-    path, begin, entries, missing = os.path.join(root, name), datetime.datetime.now(), {}, []
+    path, begin, entries, missing = f"{root}/{name}", datetime.datetime.now(), {}, []
     for t, df in tables.items():
         if df is None:
             missing.append(t)
             continue
         ordered = df.orderBy(F.desc_nulls_last("created_at")) if "created_at" in df.columns else df
-        ordered.select(*[_value(f.name, f.dataType).alias(f.name) for f in df.schema]).write.option("ignoreNullFields", "false").json(os.path.join(path, f"{t}.json"))
-        insert_statements(ordered, t).write.text(os.path.join(path, f"{t}.sql"))
-        rows = df.sparkSession.read.text(os.path.join(path, f"{t}.json")).count()
-        entries[t] = {"rows": rows, "bytes": sum(_size(os.path.join(path, f"{t}.{x}")) for x in ("json", "sql"))}
+        ordered.select(*[_value(f.name, f.dataType).alias(f.name) for f in df.schema]).write.option("ignoreNullFields", "false").json(f"{path}/{t}.json")
+        insert_statements(ordered, t).write.text(f"{path}/{t}.sql")
+        rows = df.sparkSession.read.text(f"{path}/{t}.json").count()
+        entries[t] = {"rows": rows, "bytes": sum(_files().size(f"{path}/{t}.{x}") for x in ("json", "sql"))}
     manifest = {
         "set": name, "trigger": trigger, "tables": entries, "missing": missing, "rows": sum(e["rows"] for e in entries.values()), "bytes": sum(e["bytes"] for e in entries.values()),
         "seconds": round((datetime.datetime.now() - begin).total_seconds(), 3),
     }
-    write_whole(os.path.join(path, "manifest.json"), json.dumps(manifest))
+    _files().write_new(f"{path}/manifest.json", json.dumps(manifest))
     return manifest
 
 
-def _size(path: str) -> int:
-    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(path) for f in files if not f.startswith((".", "_")))
-
-
-def write_whole(path: str, text: str) -> None:
-    """A small file that is there whole or not at all."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with open(part, "w", encoding="utf-8") as f:
-        f.write(text)
-    os.replace(part, path)
+def _files() -> Files:
+    """Shared storage as the running session sees it."""
+    return Files(SparkSession.active())
 
 
 def publish(df: DataFrame, root: str, name: str) -> str:
     """A new version of a table beside the old ones, made current by replacing one small pointer file."""
-    version = os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    version = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(version)
-    write_whole(os.path.join(root, f"{name}.current"), version)
+    _files().replace(f"{root}/{name}.current", version)
     return version
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    with open(os.path.join(root, f"{name}.current"), encoding="utf-8") as f:
-        return spark.read.parquet(f.read())
+    return spark.read.parquet(Files(spark).read(f"{root}/{name}.current"))
 
 
 def sets(root: str) -> list[dict]:
     """The manifests below a folder, newest first; other names, and sets without a readable manifest, are left out."""
-    out = []
-    for name in sorted(os.listdir(root) if os.path.isdir(root) else [], reverse=True):
+    files, out = _files(), []
+    for name in reversed(files.names(root)):
         try:
             if re.fullmatch(SET_NAME, name):
-                with open(os.path.join(root, name, "manifest.json"), encoding="utf-8") as f:
-                    out.append(json.load(f))
+                out.append(json.loads(files.read(f"{root}/{name}/manifest.json")))
         except (OSError, ValueError):
             continue
     return out
 
 
 def complete_set(root: str, tables: list[str]) -> str | None:
-    """The newest set that has every table as JSON and as SQL on disk."""
-    whole = lambda s, t, x: os.path.exists(os.path.join(root, s, f"{t}.{x}", "_SUCCESS"))
+    """The newest set that has every table as JSON and as SQL in storage."""
+    files = _files()
+    whole = lambda s, t, x: files.exists(f"{root}/{s}/{t}.{x}/_SUCCESS")
     return next((m["set"] for m in sets(root) if all(whole(m["set"], t, x) for t in tables for x in ("json", "sql"))), None)
 
 
@@ -191,16 +183,16 @@ def rotate(root: str, keep: int = 1) -> list[str]:
     """Delete all sets but the newest `keep`, one at least; their names."""
     old = [m["set"] for m in sets(root)][max(keep, 1) :]
     for name in old:
-        shutil.rmtree(os.path.join(root, name))
+        _files().delete(f"{root}/{name}")
     return old
 
 
 def backup_file(root: str, name: str, table: str, form: str) -> str:
     """The folder of one table of a set; names that are none, or that lead outside, are an error."""
-    path = os.path.realpath(os.path.join(root, name, f"{table}.{form}"))
-    if not re.fullmatch(SET_NAME, name) or not re.fullmatch(TABLE_NAME, table) or form not in ("json", "sql") or not path.startswith(os.path.realpath(root) + os.sep):
+    # Names of these forms have no separator and no "..", so a path made of them stays below the root.
+    if not re.fullmatch(SET_NAME, name) or not re.fullmatch(TABLE_NAME, table) or form not in ("json", "sql"):
         raise ValueError("no such backup file")
-    return path
+    return f"{root}/{name}/{table}.{form}"
 
 
 def tree_totals(spark: SparkSession, root: str) -> DataFrame:
@@ -213,7 +205,7 @@ def tree_totals(spark: SparkSession, root: str) -> DataFrame:
 
 def stash(df: DataFrame, root: str, table: str, now: datetime.datetime) -> None:
     """Append rows, with the time, before they are deleted."""
-    df.withColumn("deleted_at", F.lit(now.strftime("%Y-%m-%dT%H:%M:%S"))).write.mode("append").json(os.path.join(root, f"{table}.graveyard"))
+    df.withColumn("deleted_at", F.lit(now.strftime("%Y-%m-%dT%H:%M:%S"))).write.mode("append").json(f"{root}/{table}.graveyard")
 
 
 def append_log(spark: SparkSession, path: str, events: list[dict]) -> None:
@@ -226,8 +218,7 @@ def export_csv(df: DataFrame, path: str) -> None:
     cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     head = "﻿" + ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
     lines = df.select(F.concat_ws(",", *[cell(c) for c in df.columns]).alias("value"))
-    os.makedirs(path, exist_ok=True)
-    write_whole(os.path.join(path, "0-head.csv"), head + "\n")
+    _files().replace(f"{path}/0-head.csv", head + "\n")
     lines.write.mode("append").text(path)
 
 
@@ -239,5 +230,6 @@ def park(spark: SparkSession, path: str, steps: list[dict]) -> None:
 
 def parked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(operations, broken lines) that were parked, oldest first."""
-    raw = spark.read.schema("step int, op string, parked_at timestamp, broken string").option("columnNameOfCorruptRecord", "broken").json(path).cache()
+    parsed = F.from_json("value", "step int, op string, parked_at timestamp, broken string", {"columnNameOfCorruptRecord": "broken"})
+    raw = spark.read.text(path).select(parsed.alias("x")).select("x.*")
     return raw.filter("broken is null").drop("broken").orderBy("parked_at", "step"), raw.filter("broken is not null").select("broken")

@@ -18,7 +18,9 @@ class Files:
 
     def __init__(self, spark: SparkSession):
         self.jvm, self.conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self.none = spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        rename, array = self.jvm.org.apache.hadoop.fs.Options.Rename, spark.sparkContext._gateway.new_array
+        self.none, self.over = array(rename, 0), array(rename, 1)
+        self.over[0] = rename.OVERWRITE
 
     def _path(self, path: str):
         return self.jvm.org.apache.hadoop.fs.Path(path)
@@ -53,8 +55,19 @@ class Files:
         except Py4JJavaError as e:
             raise OSError(f"{path}: {e.java_exception}") from None
 
+    def size(self, path: str) -> int:
+        """The bytes of all files below a folder, or of a file."""
+        return self._system(path).getContentSummary(self._path(path)).getLength()
+
+    def replace(self, path: str, text: str) -> None:
+        """A small file that is there whole, in place of one that may have been there."""
+        self._write(path, text, self.over)
+
     def write_new(self, path: str, text: str) -> None:
         """A small file that is there whole or not at all; `Exists` if the name is taken."""
+        self._write(path, text, self.none)
+
+    def _write(self, path: str, text: str, how) -> None:
         part = self._path(f"{path}.{uuid.uuid4().hex}.part")
         out = self._system(path).create(part, True)
         out.write(bytearray(text.encode()))
@@ -62,7 +75,7 @@ class Files:
         # Not FileSystem.rename, which may overwrite.
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else self._system(path).getUri(), self.conf)
         try:
-            context.rename(part, self._path(path), self.none)
+            context.rename(part, self._path(path), how)
         except Py4JJavaError as e:
             self.delete(part.toString())
             if "FileAlreadyExists" in str(e.java_exception):
