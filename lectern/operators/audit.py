@@ -112,3 +112,63 @@ def derived_labels(df: DataFrame) -> DataFrame:
     """(id, status, derived, current) from answer_explanation, correct_option_label and options (JSON)."""
     found = options.derive_label(F.col("answer_explanation"), F.col("correct_option_label"), options.normalize_options(F.col("options"), digits=True))
     return df.select("id", found.alias("f")).select("id", "f.*")
+
+
+REVISIONS = "array<struct<id:string,set:struct<correct_option_label:string>,flags:array<struct<field:string,issue:string,severity:string,suggestion:string>>,needs_review:boolean,confidence:string>>"
+#: What a report on a row has, but for its id.
+_REPORT = "array<struct<entity:string,entity_id:bigint,field:string,issue:string,severity:string,source:string,before_value:string,after_value:string>>"
+
+
+def verdicts_of(replies: DataFrame) -> DataFrame:
+    """(id, label, flags, needs_review, confidence) of the revisions in a reader's replies (seq, reply); of several on one row the last."""
+    listed = F.from_json(F.get_json_object(options.first_object(F.col("reply")), "$.revisions"), REVISIONS)
+    each = replies.select("seq", F.posexplode(listed).alias("place", "r")).filter("r.id is not null and r.id <> ''")
+    last = each.groupBy(F.col("r.id").alias("id")).agg(F.max_by("r", F.struct("seq", "place")).alias("r"))
+    return last.select("id", F.col("r.set.correct_option_label").alias("label"), "r.flags", F.coalesce("r.needs_review", F.lit(False)).alias("needs_review"), "r.confidence")
+
+
+def merge_audit(pairs: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(updates, reports) of pairs (question_id, answer_id, question_label, answer_label, options, needs_ai, verify) after verdicts.
+
+    The label is the one field that a verdict may set, where `verify` asks for it and only to the label of one of the
+    question's options; any other is reported. A row that needed a verdict and got none has no update and stays
+    pending. An error flag, or a verdict that asks for it, sends both rows to a person. Updates are (entity, id,
+    correct_option_label, correct_option_text, revision_status, needs_review, revision_notes), the text null where it
+    stays; a pair without an answer updates its question alone.
+    """
+    given = verdicts.select(F.col("id").alias("verdict_id"), "label", "flags", F.col("needs_review").alias("asks"), "confidence")
+    met = pairs.join(given, F.col("question_id").cast("string") == F.col("verdict_id"), "left")
+    plain = lambda c: F.trim(text.latin_digits(F.coalesce(F.col(c), F.lit(""))))
+    met = met.withColumns({
+        "listed": options.normalize_options(F.col("options"), digits=True), "wanted": F.when(F.col("verify"), F.nullif(plain("label"), F.lit(""))), "silent": F.col("needs_ai") & F.col("verdict_id").isNull(),
+        "flags": F.filter(F.coalesce("flags", F.expr("cast(array() as array<struct<field:string,issue:string,severity:string,suggestion:string>>)")), lambda f: f.isNotNull()),
+    })
+    met = met.withColumn("known", F.coalesce(F.exists("listed", lambda o: o["label"] == F.col("wanted")), F.lit(False))).withColumn("wanted_text", options.text_of_label(F.col("listed"), F.col("wanted")))
+    met = met.withColumn("changed", F.col("known") & (F.col("wanted") != plain("question_label")))
+    human = F.exists("flags", lambda f: F.coalesce(f["severity"] == "error", F.lit(False))) | F.coalesce("asks", F.lit(False))
+    notes = F.to_json(F.struct(F.col("flags").alias("ai_flags"), F.col("confidence").alias("ai_confidence")))
+    told = met.filter("not silent").withColumns({"human": human, "notes": notes})
+    new_text, answer_label = F.when(F.col("changed"), F.col("wanted_text")), F.when(F.col("known"), F.coalesce(F.nullif("answer_label", F.lit("")), F.col("wanted"))).otherwise(F.col("answer_label"))
+    state = [F.when(F.col("human"), "needs_human").otherwise("revised").alias("revision_status"), F.col("human").alias("needs_review"), F.col("notes").alias("revision_notes")]
+    side = lambda entity, key, label: told.filter(F.col(key).isNotNull()).select(F.lit(entity).alias("entity"), F.col(key).alias("id"), F.when(F.col("changed"), F.col("wanted")).otherwise(label).alias("correct_option_label"), new_text.alias("correct_option_text"), *state)
+    updates = side("question", "question_id", F.col("question_label")).union(side("answer", "answer_id", answer_label))
+
+    def report(entity: str, field: Column, issue: Column, severity: Column, before: Column, after: Column) -> Column:
+        key = F.col(f"{entity}_id").cast("bigint")
+        return F.struct(F.lit(entity).alias("entity"), key.alias("entity_id"), field.alias("field"), issue.alias("issue"), severity.alias("severity"), F.lit("ai").alias("source"), before.alias("before_value"), after.alias("after_value"))
+
+    none, label, warn, info = F.lit(None).cast("string"), F.lit("correct_option_label"), F.lit("warn"), F.lit("info")
+    with_answer = F.col("answer_id").isNotNull()
+    one = [
+        (F.col("silent"), report("question", none, F.lit("ai_no_verdict"), warn, none, none)),
+        (~F.col("silent") & F.col("wanted").isNotNull() & ~F.col("known"), report("question", label, F.concat(F.lit("ai suggested unknown label '"), "wanted", F.lit("'")), warn, none, none)),
+    ]
+    for entity, when in (("question", F.lit(True)), ("answer", with_answer)):
+        old = F.substring(F.coalesce(F.col(f"{entity}_label"), F.lit("")), 1, 150)
+        one.append((~F.col("silent") & F.col("changed") & when, report(entity, label, F.lit("ai corrected option label from explanation"), info, old, F.col("wanted"))))
+        one.append((~F.col("silent") & F.col("changed") & when, report(entity, F.lit("correct_option_text"), F.lit("filled from options by label"), info, none, F.substring("wanted_text", 1, 150))))
+    single = F.array_compact(F.array(*[F.when(c, r) for c, r in one])).cast(_REPORT)
+    of_flag = lambda entity: lambda f: report(entity, f["field"], F.coalesce(F.nullif(f["issue"], F.lit("")), F.lit("unspecified")), F.when(f["severity"] == "error", "error").otherwise("warn"), none, F.substring(f["suggestion"], 1, 280))
+    of_answer = F.filter("flags", lambda f: F.coalesce(f["field"].isin("answer_explanation", "correct_option_label"), F.lit(False)) & with_answer)
+    flagged = F.when(~F.col("silent"), F.concat(F.transform("flags", of_flag("question")).cast(_REPORT), F.transform(of_answer, of_flag("answer")).cast(_REPORT))).otherwise(F.array().cast(_REPORT))
+    return updates, met.select(F.explode(F.concat(single, flagged)).alias("r")).select("r.*")
