@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ZONE = "America/Los_Angeles"
@@ -23,6 +23,16 @@ ALPHA = 0.3
 NEGLIGIBLE = 1e-30
 
 
+HISTORY = "id long, ts timestamp_ntz, model string, key_name string, key_masked string, source string, tokens_in long, tokens_out long, ms long, ok boolean"
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """The calls that a JSON array, or JSON lines, hold; what is missing or no JSON gives no rows, broken rows are left out."""
+    from lectern.sources.files import read_records
+
+    return read_records(spark, path, HISTORY).filter("ts is not null")
+
+
 def zone_day(ts: Column, zone: str = ZONE) -> Column:
     """The date of a UTC time in a zone."""
     return F.to_date(F.from_utc_timestamp(ts.cast("timestamp"), zone))

@@ -82,5 +82,13 @@ class Files:
                 raise Exists(path) from None
             raise
 
+    def move(self, path: str, target: str) -> None:
+        """A file under another name; its folder is made, and a file of that name replaced."""
+        system = self._system(path)
+        system.mkdirs(self._path(target).getParent())
+        where = self._path(path)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else system.getUri(), self.conf)
+        context.rename(where, self._path(target), self.over)
+
     def delete(self, path: str) -> None:
         self._system(path).delete(self._path(path), True)

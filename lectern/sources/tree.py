@@ -61,7 +61,7 @@ def snapshot(spark: SparkSession, root: str, sets: str, name: str, before: str |
         # A few files are asked for by their paths; of many the tree is read, as one list on the driver would be.
         few = count <= LISTED
         source = spark.read.format("binaryFile")
-        read = source.load([_escaped(r["path"]) for r in wanted.collect()]) if few else source.option("recursiveFileLookup", "true").load(root).join(wanted, "path", "left_semi")
+        read = source.load([escaped(r["path"]) for r in wanted.collect()]) if few else source.option("recursiveFileLookup", "true").load(root).join(wanted, "path", "left_semi")
         fresh = read.select("path", F.sha2("content", 256).alias("new_hash"), "content")
         fresh.write.parquet(f"{here}/read")
         fresh = spark.read.parquet(f"{here}/read")
@@ -82,7 +82,7 @@ def snapshot(spark: SparkSession, root: str, sets: str, name: str, before: str |
     return note
 
 
-def _escaped(path: str) -> str:
+def escaped(path: str) -> str:
     """A path that the reader takes as it is, not as a pattern."""
     return "".join("\\" + c if c in "{}[]*?\\" else c for c in path)
 
