@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import boxes, maths, options, rows, text
 from lectern.operators import audit, linking
 
-QUESTION_REPLY = "array<struct<question_number:string,question_text:string,options:string,corp:string,year:string,difficulty:string,diagram_bbox:string,type:string,page:string>>"
-ANSWER_REPLY = "array<struct<question_number:string,answer_explanation:string,correct_option_label:string,correct_option_text:string,corp:string,year:string,page:string>>"
+QUESTION_REPLY = "array<struct<question_number:string,question_text:string,options:string,corp:string,year:string,difficulty:string,diagram_bbox:string,type:string,page:string,caption:string,table_text:string,table_format:string>>"
+ANSWER_REPLY = "array<struct<question_number:string,answer_explanation:string,correct_option_label:string,correct_option_text:string,corp:string,year:string,page:string,diagram_bbox:string>>"
 
 
 def _entries(replies: DataFrame, key: str, schema: str) -> DataFrame:
@@ -33,14 +33,31 @@ def stage_questions(replies: DataFrame) -> DataFrame:
     e = _entries(replies, "questions", QUESTION_REPLY)
     e = e.withColumn("clean", maths.clean_stored(F.coalesce("question_text", F.lit("")))).withColumn("parted", options.clean_options(F.col("options"), F.col("clean")))
     number = text.position_number(text.latin_digits(F.col("question_number")), F.col("position"))
+    box = boxes.clean_box(boxes.box_from_json(F.col("diagram_bbox")))
+    table = F.nullif(F.trim("table_text"), F.lit(""))
+    empty = (F.trim(F.coalesce("parted.stem", F.lit(""))) == "") & (F.size("parted.options") == 0)
     return e.select(
         text.record_id(F.col("source_id"), "q", number, F.col("position")).alias("id"), "source_id", number.alias("question_number"), F.col("parted.stem").alias("question_text"),
         F.col("parted.options").alias("options"), "subject", "topic", "grade", "corp", text.canonical_year(F.col("year")).alias("year"), "difficulty",
-        rows.question_type(F.col("type"), F.col("parted.options")).alias("type"), boxes.clean_box(boxes.box_from_json(F.col("diagram_bbox"))).alias("bbox"),
-        F.coalesce(text.page_number(F.col("page")), F.lit(1)).alias("page"), F.to_json(F.struct("subject", "topic")).alias("tags"), F.lit("staged").alias("status"),
+        rows.question_type(F.col("type"), F.col("parted.options")).alias("type"), box.alias("bbox"),
+        F.coalesce(text.page_number(F.col("page")), F.lit(1)).alias("page"), F.to_json(F.struct("subject", "topic")).alias("tags"), F.when(empty, "empty").otherwise("staged").alias("status"),
+        F.when(box.isNotNull(), boxes.crop_key(F.col("source_id"), "q", number, F.lit(0))).alias("crop_key"), F.lit("pending").alias("crop_state"), F.nullif(F.trim("caption"), F.lit("")).alias("caption"),
+        table.alias("table_text"), F.coalesce(F.nullif("table_format", F.lit("")), F.when(table.isNotNull(), "markdown_table")).alias("table_format"),
     )
 
 
+def candidate_pool(questions: DataFrame, most: int = 25, clip: int = 160) -> DataFrame:
+    """(subject, number_key, candidates): for each number of a subject the first `most` questions by id, their texts cut.
+
+    Partitions keep no more than these of a number before the shuffle, so a number that many share stays small.
+    """
+    said = F.coalesce("question_text", F.lit("")) if "question_text" in questions.columns else F.lit("")
+    keyed = questions.select("subject", text.match_number(F.col("question_number")).alias("number_key"), "id", F.substring(said, 1, clip).alias("text")).filter("number_key is not null")
+    first = keyed.withColumn("place", F.row_number().over(Window.partitionBy("subject", "number_key").orderBy("id"))).filter(F.col("place") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("place", "id", "text")))
+    return first.groupBy("subject", "number_key").agg(F.transform(listed, lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text"))).alias("candidates"))
+
+
 LEGACY_REPLY = "array<struct<question_number:string,question_text:string,options:string,corp:string,year:string,difficulty:string,raw_ocr_text:string,diagram_bbox:string>>"
 
 
@@ -61,16 +78,24 @@ def legacy_questions(replies: DataFrame) -> DataFrame:
 
 
 def stage_answers(replies: DataFrame, questions: DataFrame) -> DataFrame:
-    """Staged answers of the replies, each with the question that the ladder finds for it and how sure that is."""
+    """Staged answers of the replies, each with the question that the ladder finds for it, how sure that is, and the candidates of its number."""
     e = _entries(replies, "answers", ANSWER_REPLY)
+    box = boxes.clean_box(boxes.box_from_json(F.col("diagram_bbox")))
     number = text.position_number(text.latin_digits(F.col("question_number")), F.col("position"))
     staged = e.select(
         text.record_id(F.col("source_id"), "a", number, F.col("position")).alias("id"), "source_id", number.alias("question_number"), "subject", "topic", "grade", "corp",
         text.canonical_year(F.col("year")).alias("year"), maths.clean_stored(F.coalesce("answer_explanation", F.lit(""))).alias("answer_explanation"),
-        options.clean_label(F.col("correct_option_label")).alias("correct_option_label"), F.lit("staged").alias("status"),
+        options.clean_label(F.col("correct_option_label")).alias("correct_option_label"),
+        F.when(F.trim(F.coalesce("answer_explanation", F.lit(""))) == "", "empty").otherwise("staged").alias("status"), box.alias("bbox"),
+        F.when(box.isNotNull(), boxes.crop_key(F.col("source_id"), "a", number, F.lit(0))).alias("crop_key"), F.coalesce(text.page_number(F.col("page")), F.lit(1)).alias("page"),
     )
     found = linking.verdicts(staged, questions, scope=["subject"])
-    return staged.join(found.select("id", "match_state", "match_method", "link_id"), "id", "left")
+    linked = staged.join(found.select("id", "match_state", "match_method", "link_id"), "id", "left").withColumn("number_key", text.match_number(F.col("question_number")))
+    return linked.join(candidate_pool(questions), ["subject", "number_key"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast(_candidates(questions)))).drop("number_key")
+
+
+def _candidates(questions: DataFrame) -> str:
+    return f"array<struct<id:{questions.schema['id'].dataType.simpleString()},text:string>>"
 
 
 def with_option_text(answers: DataFrame, questions: DataFrame) -> DataFrame:
