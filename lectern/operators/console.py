@@ -215,6 +215,18 @@ def schema_rows(spark: SparkSession, tables: dict[str, DataFrame], keys: dict[st
     return spark.createDataFrame(rows, "table string, column string, position int, type string, nullable boolean, is_key boolean")
 
 
+def profile(spark: SparkSession, tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+    """What the console knows of its tables, with filled, the rows that have a value, and rows: one scan of each table."""
+    known = schema_rows(spark, tables, keys)
+    out = None
+    for name, df in tables.items():
+        counts = df.agg(F.count("*").alias("all rows"), *[F.count(F.col(f"`{c}`")).alias(f"n{k}") for k, c in enumerate(df.columns)])
+        pairs = ", ".join(f"{k + 1}, n{k}, `all rows`" for k in range(len(df.columns)))
+        one = counts.select(F.lit(name).alias("table"), F.expr(f"stack({len(df.columns)}, {pairs}) as (position, filled, rows)"))
+        out = one if out is None else out.union(one)
+    return known.join(out, ["table", "position"])
+
+
 def row_by_id(df: DataFrame, key: str, ident) -> DataFrame:
     return df.filter(F.col(key) == F.lit(ident))
 

@@ -24,11 +24,13 @@ def console_select(spark, sf_dir):
     return spark.sql(statement)
 
 
-@query("""select 's' as "table", name as "column", position, nm as type from (values ('id', 1, 'bigint'), ('grade', 2, 'int'), ('file_name', 3, 'string')) t(name, position, nm)""")
+@query("""select 's' as "table", 'id' as "column", 1 as position, 'bigint' as type, count(id) as filled, count(*) as rows from s union all select 's', 'grade', 2, 'int', count(grade), count(*) from s
+  union all select 's', 'subject', 3, 'string', count(subject), count(*) from s union all select 'q', 'id', 1, 'bigint', count(id), count(*) from q union all select 'q', 'corp', 2, 'string', count(corp), count(*) from q""")
 def console_schema(spark, sf_dir):
-    """Columns and types of a table."""
-    s = tables.sources(spark, sf_dir).select("id", F.col("grade").cast("int").alias("grade"), "file_name")
-    return console.schema_rows(spark, {"s": s}, {"s": "id"}).select("table", "column", "position", "type")
+    """Columns and types of two tables, and how many rows fill each column."""
+    s = tables.sources(spark, sf_dir).select("id", F.col("grade").cast("int").alias("grade"), "subject")
+    q = tables.questions(spark, sf_dir).select("id", "corp")
+    return console.profile(spark, {"s": s, "q": q}, {"s": "id", "q": "id"}).select("table", "column", "position", "type", "filled", "rows")
 
 
 @query("select id, file_name, status from s where id = 42")
