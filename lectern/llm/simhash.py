@@ -7,7 +7,9 @@ unknowns), so every pair within the radius collides in some table and none is lo
 
 That serves texts that are all but equal. A similarity of 0.8 of two shingle sets is some ten bits of a
 fingerprint, which no such family can afford, so `near_texts` lays the masks on the sets themselves: mask i keeps
-the shingles of part i, and sets that differ in fewer shingles than there are parts agree under some mask.
+the shingles of part i, and sets that differ in fewer shingles than there are parts agree under some mask. The few
+masks that a set is held under find almost all pairs; `rest_links` finds those that they leave apart, by the prefixes
+of the sets in one order of all shingles, so that no similar pair is lost.
 
 Tables hold distinct fingerprints. A bucket of up to `SMALL` of them is compared pair by pair. In a larger one
 two fingerprints within distance 2 share a midpoint: themselves or a one-bit change of a bit that the table
@@ -127,6 +129,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 MASKS = 20
 #: Sets under one mask and key up to which all pairs are compared.
 FEW = 4
+#: Slots in which shingles are counted to order them by rarity, a fixed number.
+SLOTS = 1 << 17
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -202,15 +206,86 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return materialise(both.filter(shared >= (F.size("x") + F.size("y") - shared) * similarity).select("a", "b"), "near-links")
 
 
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (_mixed(grams.astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _gram_lists(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The shingles of each row's set, each once."""
+    for x in batch.column("grams"):
+        yield np.unique(x.values.to_numpy(zero_copy_only=False).view(np.uint32))
+
+
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets are in each slot."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            flat = batch.column("grams").flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+            sums += np.bincount(_slot(flat), minlength=SLOTS)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    summed = sets.select("grams").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    for batch in summed.toArrow().to_batches():  # a fixed number of slots
+        out[batch.column("slot").to_numpy()] = batch.column("n").to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(whole, n, grams) of sets (whole, grams): the set's size and its first shingles, rare slots first.
+
+    A set shares `similarity` of its shingles at least with any set that is similar, so in one order of all shingles
+    the first that both have is among its first n - ceil(similarity n) + 1.
+    """
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, first = [], []
+            for u in _gram_lists(batch):
+                upto = len(u) - math.ceil(similarity * len(u) - 1e-9) + 1 if len(u) else 0
+                sizes.append(len(u))
+                first.append(u[np.lexsort((u, counts[_slot(u)]))[:upto]].view(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32)), pa.array(np.concatenate(first)))
+            yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array(np.array(sizes, np.int32)), lists], names=["whole", "n", "grams"])
+
+    return sets.select("whole", "grams").mapInArrow(compute, "whole long, n int, grams array<int>")
+
+
+def rest_links(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every similar pair of sets (whole, grams) whose ends have not one root in `roots` (node, root).
+
+    Sets meet under each shingle of their prefixes under which more than one root stands, members of one root never
+    among themselves; sizes and places then say which pairs may still be similar, and those are checked.
+    """
+    distinct = sets.groupBy("whole").agg(F.any_value("grams").alias("grams"))
+    named = prefixes(distinct, slot_counts(sets), similarity).join(roots, F.col("whole") == F.col("node"), "left")
+    named = materialise(named.select("whole", "n", "grams", F.coalesce("root", "whole").alias("root")), "set-prefixes")
+    placed = named.select("whole", "n", "root", F.posexplode("grams").alias("place", "gram"))
+    ends = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = materialise(ends.filter("low < high").select("gram"), "mixed-shingles")
+    met = materialise(split_by_sieve(placed, mixed, "gram")[0].join(mixed, "gram"), "mixed-members")
+    groups = met.select("gram", "root").distinct()
+    both = groups.withColumnRenamed("root", "root_a").join(groups.withColumnRenamed("root", "root_b"), "gram").filter("root_a < root_b")
+    x, y = (met.withColumnsRenamed({c: f"{c}_{k}" for c in ("whole", "n", "place", "root")}) for k in "ab")
+    pairs = both.join(x, ["gram", "root_a"]).join(y, ["gram", "root_b"])
+    shared = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # at most, if none stands before
+    least = (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-6
+    near = pairs.filter((shared >= least) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-6))
+    return _similar(near.select(F.least("whole_a", "whole_b").alias("a"), F.greatest("whole_a", "whole_b").alias("b")), sets, similarity)
+
+
 def near_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(digest, group): for each distinct text, by its XXH64, the group of texts it is near to.
 
     Texts whose sets of word shingles have a Jaccard similarity of `similarity` or more are linked, and groups are
-    what links connect. Equal sets are one. Sets that agree under a mask are compared: all pairs of up to `FEW`; in
+    what links connect. Equal sets are one. First, sets that agree under a mask are compared: all pairs of up to `FEW`; in
     a crowd all with its densest member, the one with most company under its masks, which is where the
     variants of one text meet. What that member is near to leaves the crowd, the others go on until they are few or
-    a round finds nothing; a pair that such a crowd leaves apart still meets under its other masks. Null texts
-    count as empty; texts without words are near each other; an empty table gives no rows.
+    a round finds nothing. Then `rest_links` compares what this leaves apart, so that groups are those of all
+    similar pairs. Null texts count as empty; texts without words are near each other; an empty table gives no rows.
     """
     sets = materialise(shingle_sets(docs, text_col, shingle, similarity), "shingle-sets")
     distinct = sets.groupBy("whole").agg(F.any_value("keys").alias("keys"))
@@ -239,6 +314,8 @@ def near_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5, simila
     edges = found[0]
     for more in found[1:]:
         edges = edges.union(more)
-    roots = components(edges, "a", "b")
+    first = materialise(components(edges, "a", "b"), "mask-groups")
+    rest = rest_links(sets, first, similarity)
+    roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest), "a", "b")
     texts = sets.select("digest", "whole").distinct()
     return texts.join(roots, texts["whole"] == roots["node"], "left").select("digest", F.coalesce("root", "whole").alias("group"))
