@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import fresh, small_batches, split_by_sieve, utf8, with_rank
-from lectern.session import materialise
+from lectern.session import discard, materialise
 
 MIN_WORDS = 50
 #: A place is rank of the document * 2^PLACE_BITS + index of the line.
@@ -109,11 +109,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     candidates = materialise(candidate_blocks(sequences, min_words), "line-candidates")
     ranks = with_rank(candidates.select("id", "digest"), "id", "digest")
     placed = materialise(candidates.join(ranks, ["id", "digest"]).withColumn("base", F.shiftleft("rank", PLACE_BITS)), "line-places")
+    discard(sequences, candidates)
     lines = placed.select("base", F.explode(F.arrays_zip("at", "h1", "h2")).alias("x")).select((F.col("base") + F.col("x.at")).alias("place"), "x.h1", "x.h2")
     blocks = placed.select("base", F.explode(F.arrays_zip("start", "length")).alias("b")).select((F.col("base") + F.col("b.start")).alias("place"), F.col("b.length").alias("length"))
 
     level, size = materialise(_name(lines, ["h1", "h2"]), "level-1"), 1
-    copies = None
+    copies, held = None, [placed, level]
     while True:
         here = blocks.filter((F.col("length") >= size) & (F.col("length") < 2 * size))
         first = here.join(level, "place").withColumnRenamed("name", "first")
@@ -121,6 +122,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = first.withColumn("last_place", F.col("place") + F.col("length") - size).join(last, "last_place")
         both = materialise(both.select("place", "length", "first", "last"), f"blocks-{size}")
         earliest = both.groupBy("length", "first", "last").agg(F.min("place").alias("earliest"))
+        held.append(both)
         later = both.join(earliest, ["length", "first", "last"]).filter("place > earliest").select("place", "length")
         copies = later if copies is None else copies.union(later)
         if 2 * size > min_words:
@@ -128,10 +130,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         halves = level.select((F.col("place") - size).alias("place"), F.col("name").alias("second"))
         pairs = level.join(halves, "place")
         level, size = materialise(_name(pairs, ["name", "second"]), f"level-{2 * size}"), 2 * size
+        held.append(level)
     covered = copies.select(F.explode(F.sequence(F.col("place"), F.col("place") + F.col("length") - 1)).alias("place")).distinct()
     deleted = covered.groupBy(F.shiftright("place", PLACE_BITS).alias("rank")).agg(F.collect_set((F.col("place") % (1 << PLACE_BITS)).cast("int")).alias("gone"))
     numbered = placed.join(deleted, "rank").withColumn("numbers", F.map_from_arrays("at", "number"))
-    return numbered.select("id", "digest", F.array_sort(F.transform("gone", lambda i: F.element_at("numbers", i))).alias("deleted"))
+    out = numbered.select("id", "digest", F.array_sort(F.transform("gone", lambda i: F.element_at("numbers", i))).alias("deleted"))
+    out = materialise(out, "deleted-lines")
+    discard(*held)
+    return out
 
 
 def _name(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -150,7 +156,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ident, digest, deleted = fresh(docs, "id_key", "digest_key", "deleted_key")
     found = repeated_lines(docs, id_col, text_col, min_words)
-    found = materialise(found.select(F.col("id").alias(ident), F.col("digest").alias(digest), F.col("deleted").alias(deleted)), "deleted-lines")
+    found = found.select(F.col("id").alias(ident), F.col("digest").alias(digest), F.col("deleted").alias(deleted))
     text = F.col(f"`{text_col}`")
     keyed = docs.withColumns({ident: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)), digest: F.xxhash64(text)})
     touched, whole = split_by_sieve(keyed, found, ident, digest)

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small_batches, split_by_sieve, texts_of, utf8
+from lectern.llm.common import SIEVE, small_batches, split_by_sieve, texts_of, utf8
 from lectern.llm.graph import components
-from lectern.session import materialise
+from lectern.session import discard, materialise
 
 #: Distinct fingerprints in a bucket up to which its pairs are compared one by one.
 SMALL = 32
@@ -131,6 +131,10 @@ MASKS = 20
 FEW = 4
 #: Slots in which shingles are counted to order them by rarity, a fixed number.
 SLOTS = 1 << 17
+#: Slots of a set's parities, of which the bits go before the sets.
+PARITY = 1024
+#: Slots of the sieve of shared shingles for each of them, and at most.
+SPARE, MOST_SLOTS = 16, 1 << 26
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -196,14 +200,51 @@ def shingle_sets(docs: DataFrame, text_col: str, shingle: int, similarity: float
     return docs.select(F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(compute, "digest long, whole long, keys array<long>, grams array<int>")
 
 
+def parities(sets: DataFrame) -> DataFrame:
+    """(whole, size, odd) of sets (whole, grams): the set's size, and as bits which of `PARITY` slots hold an odd number of it.
+
+    Bits that differ between two sets are no more than the shingles that one of them alone has.
+    """
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, odd = [], []
+            for u in _gram_lists(batch):
+                sizes.append(len(u))
+                slots = (_mixed(u.astype(np.uint64)) % np.uint64(PARITY)).astype(np.int64)
+                odd.append(np.packbits(np.bincount(slots, minlength=PARITY) % 2 == 1).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(np.concatenate(odd)))
+            yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array(np.array(sizes, np.int32)), lists], names=["whole", "size", "odd"])
+
+    return sets.select("whole", "grams").mapInArrow(compute, "whole long, size int, odd array<long>")
+
+
+def may_be_similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """`pairs` (a, b) without those whose sizes or parities say that they are not similar; no similar pair is dropped, and no set is shuffled."""
+    wanted = pairs.select(F.col("a").alias("whole")).union(pairs.select("b"))
+    marks = parities(split_by_sieve(sets, wanted, "whole")[0]).groupBy("whole").agg(F.any_value("size").alias("size"), F.any_value("odd").alias("odd"))
+    marks = materialise(marks, "near-parities")
+    x, y = (marks.withColumnsRenamed({"whole": k, "size": f"size_{k}", "odd": f"odd_{k}"}) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b")
+    bits = F.aggregate(F.zip_with("odd_a", "odd_b", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, v: n + v)
+    apart = (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    fitting = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-6
+    left = materialise(both.filter(fitting & (bits <= apart)).select("a", "b"), "near-likely")
+    discard(marks)
+    return left
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those (a, b) of `pairs` whose sets reach the similarity."""
-    pairs = materialise(pairs.distinct(), "near-candidates")
+    met = materialise(pairs.distinct(), "near-candidates")
+    pairs = may_be_similar(met, sets, similarity)
     wanted = pairs.select(F.col("a").alias("whole")).union(pairs.select("b"))
     held = materialise(split_by_sieve(sets, wanted, "whole")[0].groupBy("whole").agg(F.any_value("grams").alias("grams")), "near-sets")
     both = pairs.join(held.withColumnsRenamed({"whole": "a", "grams": "x"}), "a").join(held.withColumnsRenamed({"whole": "b", "grams": "y"}), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return materialise(both.filter(shared >= (F.size("x") + F.size("y") - shared) * similarity).select("a", "b"), "near-links")
+    links = materialise(both.filter(shared >= (F.size("x") + F.size("y") - shared) * similarity).select("a", "b"), "near-links")
+    discard(met, pairs, held)
+    return links
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:
@@ -260,13 +301,16 @@ def rest_links(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     Sets meet under each shingle of their prefixes under which more than one root stands, members of one root never
     among themselves; sizes and places then say which pairs may still be similar, and those are checked.
     """
-    distinct = sets.groupBy("whole").agg(F.any_value("grams").alias("grams"))
-    named = prefixes(distinct, slot_counts(sets), similarity).join(roots, F.col("whole") == F.col("node"), "left")
+    # Equal sets have equal prefixes, so the prefixes are made where the sets are and those alone are shuffled.
+    distinct = prefixes(sets, slot_counts(sets), similarity).groupBy("whole").agg(F.any_value("n").alias("n"), F.any_value("grams").alias("grams"))
+    named = distinct.join(roots, F.col("whole") == F.col("node"), "left")
     named = materialise(named.select("whole", "n", "grams", F.coalesce("root", "whole").alias("root")), "set-prefixes")
     placed = named.select("whole", "n", "root", F.posexplode("grams").alias("place", "gram"))
     ends = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = materialise(ends.filter("low < high").select("gram"), "mixed-shingles")
-    met = materialise(split_by_sieve(placed, mixed, "gram")[0].join(mixed, "gram"), "mixed-members")
+    slots = min(MOST_SLOTS, max(SIEVE, 1 << (SPARE * mixed.count()).bit_length()))
+    met = materialise(split_by_sieve(placed, mixed, "gram", slots=slots)[0].join(mixed, "gram"), "mixed-members")
+    discard(named, mixed)
     groups = met.select("gram", "root").distinct()
     both = groups.withColumnRenamed("root", "root_a").join(groups.withColumnRenamed("root", "root_b"), "gram").filter("root_a < root_b")
     x, y = (met.withColumnsRenamed({c: f"{c}_{k}" for c in ("whole", "n", "place", "root")}) for k in "ab")
@@ -274,7 +318,9 @@ def rest_links(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     shared = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # at most, if none stands before
     least = (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-6
     near = pairs.filter((shared >= least) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-6))
-    return _similar(near.select(F.least("whole_a", "whole_b").alias("a"), F.greatest("whole_a", "whole_b").alias("b")), sets, similarity)
+    links = _similar(near.select(F.least("whole_a", "whole_b").alias("a"), F.greatest("whole_a", "whole_b").alias("b")), sets, similarity)
+    discard(met)
+    return links
 
 
 def near_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -298,6 +344,7 @@ def near_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5, simila
         crowds = met.filter(F.col("n") > FEW)
         if crowds.isEmpty():
             found.append(_similar(pairs, sets, similarity))
+            discard(met)
             break
         company = crowds.groupBy("whole").agg(F.sum("n").alias("company"))
         centres = crowds.join(company, "whole").groupBy("key").agg(F.max(F.struct("company", "whole")).alias("c")).select("key", F.col("c.whole").alias("centre"))
@@ -308,7 +355,9 @@ def near_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5, simila
         linked = links.select(F.col("a").alias("whole")).union(links.select("b")).distinct()
         rest = spokes.filter("whole != centre").select("key", "whole").join(linked, "whole", "left_anti")
         rest = materialise(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "mask-rest")
+        discard(met, spokes)
         if links.isEmpty() or rest.isEmpty():
+            discard(rest)
             break
         met = rest
     edges = found[0]
@@ -317,5 +366,6 @@ def near_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5, simila
     first = materialise(components(edges, "a", "b"), "mask-groups")
     rest = rest_links(sets, first, similarity)
     roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest), "a", "b")
-    texts = sets.select("digest", "whole").distinct()
+    texts = materialise(sets.select("digest", "whole").distinct(), "text-sets")
+    discard(sets, first, rest, *found)
     return texts.join(roots, texts["whole"] == roots["node"], "left").select("digest", F.coalesce("root", "whole").alias("group"))
