@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 IDENTITY = ["question_number", "subject", "topic", "grade"]
 #: Rows up to which the listed questions are broadcast to the answers.
 BROADCAST_ROWS = 10_000
+#: Tasks for each core, at least, over which the pairs of one identity are dealt out.
+SPREAD = 8
 # The revision listings.
 VIEWS = {
     "flagged": lambda: F.col("needs_review"),
@@ -68,7 +70,13 @@ def with_answers(questions: DataFrame, answers: DataFrame, columns: list[str], i
     listed = [*columns, "answer_id", "answer_review_status"]
     by_id = twins.join(named.filter("a_question_id is not null"), F.col("id") == F.col("a_question_id")).select(*listed)
     same = [F.col(f"q_{c}") == F.col(f"a_{c}") for c in IDENTITY]
-    out = by_id.union(twins.join(named.filter("a_question_id is null"), same).select(*listed))
+    loose = named.filter("a_question_id is null")
+    if not small_questions:
+        # The adaptive plan joins partitions by the bytes that come in, and a few megabytes make millions of pairs.
+        spark = questions.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), SPREAD * spark.sparkContext.defaultParallelism)
+        twins, loose = (df.repartition(n, *[f"{k}_{c}" for c in IDENTITY]) for df, k in ((twins, "q"), (loose, "a")))
+    out = by_id.union(twins.join(loose, same).select(*listed))
     if inner:
         return out
     alone = shown.join(answered_ids(questions, answers, small_questions), "id", "left_anti")
