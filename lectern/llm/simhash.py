@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SIEVE, small_batches, split_by_sieve, texts_of, utf8
+from lectern.llm.common import slots_for, small_batches, split_by_sieve, texts_of, utf8
 from lectern.llm.graph import components
 from lectern.session import discard, materialise
 
@@ -133,8 +133,6 @@ FEW = 4
 SLOTS = 1 << 17
 #: Slots of a set's parities, of which the bits go before the sets.
 PARITY = 1024
-#: Slots of the sieve of shared shingles for each of them, and at most.
-SPARE, MOST_SLOTS = 16, 1 << 26
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -308,8 +306,7 @@ def rest_links(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     placed = named.select("whole", "n", "root", F.posexplode("grams").alias("place", "gram"))
     ends = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = materialise(ends.filter("low < high").select("gram"), "mixed-shingles")
-    slots = min(MOST_SLOTS, max(SIEVE, 1 << (SPARE * mixed.count()).bit_length()))
-    met = materialise(split_by_sieve(placed, mixed, "gram", slots=slots)[0].join(mixed, "gram"), "mixed-members")
+    met = materialise(split_by_sieve(placed, mixed, "gram", slots=slots_for(mixed.count()))[0].join(mixed, "gram"), "mixed-members")
     discard(named, mixed)
     groups = met.select("gram", "root").distinct()
     both = groups.withColumnRenamed("root", "root_a").join(groups.withColumnRenamed("root", "root_b"), "gram").filter("root_a < root_b")
