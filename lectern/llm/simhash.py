@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -167,35 +168,46 @@ def mask_keys(grams: np.ndarray, similarity: float) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def _hashes(raw: bytes, shingle: int) -> np.ndarray:
+    """The XXH64 of a text's distinct shingles, in order."""
+    from xxhash import xxh64_intdigest
+
+    words = raw.lower().split()
+    k = min(shingle, len(words))
+    found = {xxh64_intdigest(b" ".join(t), 42) for t in zip(*(words[i:] for i in range(k)))}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def _lists(arrays: list[np.ndarray], kind: type) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32)), pa.array(np.concatenate(arrays).view(kind)))
+
+
+def _digested(docs: DataFrame, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("digest"), text.alias("text"))
+
+
 def shingle_sets(docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(digest, whole, keys, grams): each text's XXH64, a hash of its shingle set, its mask keys and the set itself.
 
-    Shingles are those of `fingerprint`; grams has 32 bits of each hash. A text without words has an empty set.
+    Shingles are those of `fingerprint`; grams has 32 bits of each hash, some of them twice where those are equal, for
+    the search of candidates; `confirmed` compares whole hashes. A text without words has an empty set.
     """
     small_batches(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for batch in batches:
             whole, keys, grams = [], [], []
             for raw in utf8(batch.column("text")):
-                words = raw.lower().split()
-                k = min(shingle, len(words))
-                found = {xxh64_intdigest(b" ".join(t), 42) for t in zip(*(words[i:] for i in range(k)))}
-                h = np.sort(np.fromiter(found, np.uint64, len(found)))
+                h = _hashes(raw, shingle)
                 with np.errstate(over="ignore"):
                     whole.append(int(_mixed(h).sum(dtype=np.uint64)) if len(h) else 0)
                 keys.append(mask_keys(h, similarity) if len(h) else h)
-                grams.append((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            lists = [
-                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x).view(kind)))
-                for x, kind in ((keys, np.int64), (grams, np.int32))
-            ]
+                grams.append((h >> np.uint64(32)).astype(np.uint32))
+            lists = [_lists(keys, np.int64), _lists(grams, np.int32)]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(np.array(whole, np.uint64).view(np.int64)), *lists], names=["digest", "whole", "keys", "grams"])
 
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(compute, "digest long, whole long, keys array<long>, grams array<int>")
+    return _digested(docs, text_col).mapInArrow(compute, "digest long, whole long, keys array<long>, grams array<int>")
 
 
 def parities(sets: DataFrame) -> DataFrame:
@@ -207,8 +219,8 @@ def parities(sets: DataFrame) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, odd = [], []
-            for u in _gram_lists(batch):
-                sizes.append(len(u))
+            for n, u in _gram_lists(batch):
+                sizes.append(n)
                 slots = (_mixed(u.astype(np.uint64)) % np.uint64(PARITY)).astype(np.int64)
                 odd.append(np.packbits(np.bincount(slots, minlength=PARITY) % 2 == 1).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(odd) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(np.concatenate(odd)))
@@ -233,26 +245,51 @@ def may_be_similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those (a, b) of `pairs` whose sets reach the similarity."""
+    """Those (a, b) of `pairs` whose sets reach the similarity as far as 32 bits of each hash tell; no similar pair is dropped."""
     met = materialise(pairs.distinct(), "near-candidates")
     pairs = may_be_similar(met, sets, similarity)
     wanted = pairs.select(F.col("a").alias("whole")).union(pairs.select("b"))
     held = materialise(split_by_sieve(sets, wanted, "whole")[0].groupBy("whole").agg(F.any_value("grams").alias("grams")), "near-sets")
-    both = pairs.join(held.withColumnsRenamed({"whole": "a", "grams": "x"}), "a").join(held.withColumnsRenamed({"whole": "b", "grams": "y"}), "b")
-    shared = F.size(F.array_intersect("x", "y"))
+    counted = held.withColumn("twice", F.size("grams") - F.size(F.array_distinct("grams")))
+    x, y = (counted.withColumnsRenamed({"whole": k, "grams": g, "twice": f"twice_{k}"}) for k, g in ("ax", "by"))
+    both = pairs.join(x, "a").join(y, "b")
+    # Shingles of one set whose 32 bits are equal count once in what is shared, so so many more may be.
+    shared = F.size(F.array_intersect("x", "y")) + F.least("twice_a", "twice_b")
     links = materialise(both.filter(shared >= (F.size("x") + F.size("y") - shared) * similarity).select("a", "b"), "near-links")
     discard(met, pairs, held)
     return links
 
 
+def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Those (a, b) of `pairs` whose sets reach the similarity by their whole hashes, which are made again of the texts concerned."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [_hashes(raw, shingle) for raw in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), _lists(hashes, np.int64)], names=["digest", "hashes"])
+
+    pairs = materialise(pairs.distinct(), "near-doubtful")
+    wanted = materialise(pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct(), "near-wanted")
+    named = split_by_sieve(sets.select("digest", "whole"), wanted, "whole")[0].join(wanted, "whole", "left_semi")
+    named = materialise(named.groupBy("whole").agg(F.min("digest").alias("digest")), "near-named")
+    touched = split_by_sieve(_digested(docs, text_col), named, "digest")[0]
+    made = touched.mapInArrow(compute, "digest long, hashes array<long>").groupBy("digest").agg(F.any_value("hashes").alias("hashes"))
+    held = materialise(made.join(named, "digest").select("whole", "hashes"), "near-whole")
+    both = pairs.join(held.withColumnsRenamed({"whole": "a", "hashes": "x"}), "a").join(held.withColumnsRenamed({"whole": "b", "hashes": "y"}), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    links = materialise(both.filter(shared >= (F.size("x") + F.size("y") - shared) * similarity).select("a", "b"), "near-confirmed")
+    discard(pairs, wanted, named, held)
+    return links
+
+
 def _slot(grams: np.ndarray) -> np.ndarray:
     return (_mixed(grams.astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
 
 
-def _gram_lists(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """The shingles of each row's set, each once."""
+def _gram_lists(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """The size of each row's set, and the 32 bits of its shingles, each once."""
     for x in batch.column("grams"):
-        yield np.unique(x.values.to_numpy(zero_copy_only=False).view(np.uint32))
+        yield len(x), np.unique(x.values.to_numpy(zero_copy_only=False).view(np.uint32))
 
 
 def slot_counts(sets: DataFrame) -> np.ndarray:
@@ -277,15 +314,16 @@ def prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFram
     """(whole, n, grams) of sets (whole, grams): the set's size and its first shingles, rare slots first.
 
     A set shares `similarity` of its shingles at least with any set that is similar, so in one order of all shingles
-    the first that both have is among its first n - ceil(similarity n) + 1.
+    the first that both have is among its first n - ceil(similarity n) + 1. If k of its n are the same 32 bits as
+    others of it, n - k are left in the order, of which k less need be shared, so it is among as many as before.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, first = [], []
-            for u in _gram_lists(batch):
-                upto = len(u) - math.ceil(similarity * len(u) - 1e-9) + 1 if len(u) else 0
-                sizes.append(len(u))
+            for n, u in _gram_lists(batch):
+                upto = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+                sizes.append(n)
                 first.append(u[np.lexsort((u, counts[_slot(u)]))[:upto]].view(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32)), pa.array(np.concatenate(first)))
             yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array(np.array(sizes, np.int32)), lists], names=["whole", "n", "grams"])
@@ -294,7 +332,7 @@ def prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFram
 
 
 def rest_links(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): every similar pair of sets (whole, grams) whose ends have not one root in `roots` (node, root).
+    """(a, b): every pair of sets (whole, grams), similar as far as 32 bits of a hash tell, whose ends have not one root in `roots` (node, root).
 
     Sets meet under each shingle of their prefixes under which more than one root stands, members of one root never
     among themselves; sizes and places then say which pairs may still be similar, and those are checked.
@@ -328,7 +366,7 @@ def near_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5, simila
     a crowd all with its densest member, the one with most company under its masks, which is where the
     variants of one text meet. What that member is near to leaves the crowd, the others go on until they are few or
     a round finds nothing. Then `rest_links` compares what this leaves apart, so that groups are those of all
-    similar pairs. Null texts count as empty; texts without words are near each other; an empty table gives no rows.
+    similar pairs. Both are searches by 32 bits of a hash that drop none; their links stand once `confirmed`. Null texts count as empty; texts without words are near each other; an empty table gives no rows.
     """
     sets = materialise(shingle_sets(docs, text_col, shingle, similarity), "shingle-sets")
     distinct = sets.groupBy("whole").agg(F.any_value("keys").alias("keys"))
@@ -357,12 +395,11 @@ def near_texts(docs: DataFrame, text_col: str = "text", shingle: int = 5, simila
             discard(rest)
             break
         met = rest
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.union(more)
+    edges = confirmed(reduce(DataFrame.union, found), sets, docs, text_col, shingle, similarity)
     first = materialise(components(edges, "a", "b"), "mask-groups")
-    rest = rest_links(sets, first, similarity)
+    likely = rest_links(sets, first, similarity)
+    rest = confirmed(likely, sets, docs, text_col, shingle, similarity)
     roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest), "a", "b")
     texts = materialise(sets.select("digest", "whole").distinct(), "text-sets")
-    discard(sets, first, rest, *found)
+    discard(sets, first, likely, rest, edges, *found)
     return texts.join(roots, texts["whole"] == roots["node"], "left").select("digest", F.coalesce("root", "whole").alias("group"))
